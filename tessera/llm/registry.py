@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .chat import op9_chat_prefix_target
+from .decontaminate import op7_decontamination
 from .media import op10_media_chunks
+from .neardup import op4_minhash
 from .pieces import op6_sentencepiece
 from .shards import op2_sharding
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op6_sentencepiece, op9_chat_prefix_target, op10_media_chunks)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_minhash, op6_sentencepiece, op7_decontamination, op9_chat_prefix_target, op10_media_chunks)}
 ORACLE_SQL: dict[str, str] = {}
