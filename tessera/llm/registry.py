@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from .chat import op9_chat_prefix_target
 from .decontaminate import op7_decontamination
+from .licenses import op5_license_scan
+from .lines import SQL as LINES_SQL
+from .lines import op1_line_dedup
 from .media import op10_media_chunks
 from .neardup import op4_minhash
 from .pieces import op6_sentencepiece
 from .shards import op2_sharding
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_minhash, op6_sentencepiece, op7_decontamination, op9_chat_prefix_target, op10_media_chunks)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_toxicity, op4_minhash, op5_license_scan, op6_sentencepiece, op7_decontamination, op9_chat_prefix_target, op10_media_chunks)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINES_SQL}
