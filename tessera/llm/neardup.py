@@ -7,9 +7,10 @@ make bucket keys. Two sets of similarity 0.8 miss all 32 buckets with probabilit
 1. Documents with equal sets are one class, named by their least doc_id; only that one goes on.
 2. In every bucket all members are paired with one pivot, the least doc_id: as many pairs as members.
 3. Pairs are confirmed on full sets: 100 * shared >= PERCENT * union. Confirmed links give components.
-4. A bucket whose members are still in several components may hide links between members other than the pivot. All
-   remaining pairs of such a bucket that cross components are confirmed too. If these would be too many, more pivots go
-   first, each against the whole bucket, which joins components and leaves fewer pairs; no pair is given up.
+4. A bucket whose members are still in several components may hide links between members other than the pivot. There,
+   every member outside the pivot's component is compared with all members of other components. Both sides are dealt into
+   blocks of BLOCK_SHINGLES shingles, so a task holds two blocks at a time and only links leave it. If these comparisons
+   would be too many, more pivots go first, each against its whole bucket, which joins components; no pair is given up.
 
 Defined results: words are split at ASCII white space, A-Z count as a-z; a text with fewer than K words has its whole
 sequence as one shingle; null, empty and blank texts have empty sets and link with nothing; repeated rows are copies of
@@ -31,8 +32,8 @@ from .common import WordHashes, batch_of, cut, drop_cut, mixed, slices, table
 from .graph import components
 
 PERMUTATIONS, ROWS, PERCENT = 64, 4, 80
-#: Crossing pairs per document up to which step 4 confirms them all at once.
-PAIRS_PER_ROW = 8
+#: Comparisons per document and band up to which step 4 makes them all at once, and shingles of a block.
+PAIRS_PER_ROW, BLOCK_SHINGLES = 32, 1 << 15
 
 _RNG = np.random.Generator(np.random.PCG64(41))
 _FACTORS = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,11 +115,50 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs of bucket members (band, key, doc_id, n, component) in different components whose sizes allow the
+    """Distinct pairs of bucket members (key, doc_id, n, component) in different components whose sizes allow the
     similarity."""
-    b = right.select("band", "key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"))
+    b = right.select("key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"))
     fit = f"doc_id != other and component != other_component and 100 * least(n, m) >= {PERCENT} * greatest(n, m)"
-    return left.join(b, ["band", "key"]).filter(fit).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    return left.join(b, "key").filter(fit).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the members of two blocks (lists of doc_id, component, shingles)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in slices(batches, 1):
+        left, right = (batch.column(c)[0].values for c in ("left", "right"))
+        ids, comps, values = (right.field(i) for i in range(3))
+        ids, comps = ids.to_numpy(), comps.to_numpy()
+        ends = values.offsets.to_numpy()
+        flat = values.values.to_numpy()[ends[0] : ends[-1]]
+        sizes = np.diff(ends)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        rows = []
+        for doc_id, comp, own in zip(left.field(0).to_pylist(), left.field(1).to_pylist(), left.field(2), strict=True):
+            own = own.values.to_numpy()
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(ids))
+            near = (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (comps != comp)
+            rows += [(min(doc_id, x), max(doc_id, x)) for x in ids[near].tolist()]
+        yield batch_of(rows, schema)
+
+
+def _across(rest: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the rest and all members of their buckets in other components, block against block."""
+    keys = rest.groupBy("key").agg(F.sum("n").alias("rest_n"))
+    sizes = members.join(keys, "key").groupBy("key", "rest_n").agg(F.sum("n").alias("all_n"))
+
+    def blocks(rows: DataFrame, total: str, name: str) -> DataFrame:
+        n = F.ceil(F.col(total) / BLOCK_SHINGLES)
+        dealt = rows.select("key", "doc_id", "component").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), n)).join(sets, "doc_id")
+        return dealt.groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias(name)).drop("block")
+
+    both = blocks(rest, "rest_n", "left").join(blocks(members, "all_n", "right"), "key")
+    return both.select("left", "right").mapInArrow(_block_links, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
@@ -128,38 +168,38 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     filled = sketch.filter("doc_id is not null and n_shingles > 0")
     equal = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
     reps = filled.select("doc_id", "digest", F.col("n_shingles").alias("n"), "bands").join(equal, ["doc_id", "digest"])
-    members = reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    pivots = members.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    buckets = cut(members.join(pivots.drop("size"), ["band", "key"]).distinct())
+    members = reps.select("doc_id", "n", F.explode("bands").alias("key"))
+    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    buckets = cut(members.join(pivots, "key"))
     involved = buckets.select("doc_id").distinct()
     sets = cut(rows.filter("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, shingles array<long>"))
 
     own = buckets.withColumn("component", F.col("doc_id"))
     first = own.filter("doc_id = pivot")
     links = cut(confirm(_pairs(first, own), sets))
-    spent = first.select("band", "key", "doc_id")
-    rounds = 0
+    total, spent, last = max(equal.count(), 1000), None, False
     while True:
         found = components(links)
+        if last:
+            break
         now = cut(buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        at_pivot = now.filter("doc_id = pivot").select("band", "key", F.col("component").alias("pivot_component"))
-        rest = cut(now.join(at_pivot, ["band", "key"]).filter("component != pivot_component").drop("pivot_component").join(spent, ["band", "key", "doc_id"], "left_anti"))
-        per = rest.groupBy("band", "key").agg(F.count("*").alias("r"), F.min("doc_id").alias("next"))
-        sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("m"))
-        left, total = per.join(sizes, ["band", "key"]).agg(F.coalesce(F.sum(F.col("r") * F.col("m")), F.lit(0)), F.lit(0)).first()[0], equal.count()
+        at_pivot = now.filter("doc_id = pivot").select("key", F.col("component").alias("pivot_component"))
+        rest = now.join(at_pivot, "key").filter("component != pivot_component").drop("pivot_component")
+        rest = cut(rest.join(spent, ["key", "doc_id"], "left_anti") if spent is not None else rest)
+        left = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         if not left:
             break
-        last = left <= PAIRS_PER_ROW * BANDS * max(total, 1000)
-        going = rest if last else rest.join(per.select("band", "key", F.col("next").alias("doc_id")), ["band", "key", "doc_id"])
-        more = cut(links.unionByName(confirm(_pairs(going, now), sets)).distinct())
-        spent = spent.unionByName(going.select("band", "key", "doc_id"))
-        if not last:
-            spent = cut(spent)
-        drop_cut(links)
-        links, rounds = more, rounds + 1
+        last = left <= PAIRS_PER_ROW * BANDS * total
         if last:
-            found = components(links)
-            break
+            more = _across(rest, now, sets)
+        else:
+            going = rest.join(rest.groupBy("key").agg(F.min("doc_id").alias("doc_id")), ["key", "doc_id"])
+            more = confirm(_pairs(going, now), sets)
+            done = going.select("key", "doc_id")
+            spent = cut(done if spent is None else spent.unionByName(done))
+        new = cut(links.unionByName(more))
+        drop_cut(links)
+        links = new
     named = equal.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
