@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     runs = cut(later_runs(keyed, min_lines))
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("runs", lambda r: i.between(r["a"], r["b"])))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
-    out = keyed.join(runs, _KEY, "left").withColumns({
+    # runs grow with the documents, so both sides are dealt by key at every size
+    out = keyed.join(runs.hint("merge"), _KEY, "left").withColumns({
         "n_lines": n_lines.cast("long"), "n_deleted": F.coalesce("n_deleted", F.lit(0)).cast("long"), "n_runs": F.coalesce(F.size("runs"), F.lit(0)).cast("long"),
         "longest_run": F.coalesce("longest_run", F.lit(0)).cast("long"), "text": F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
     })
