@@ -9,9 +9,10 @@ from .lines import SQL as LINES_SQL
 from .lines import op1_line_dedup
 from .media import op10_media_chunks
 from .neardup import op4_minhash
+from .passages import op8_substring_dedup
 from .pieces import op6_sentencepiece
 from .shards import op2_sharding
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_toxicity, op4_minhash, op5_license_scan, op6_sentencepiece, op7_decontamination, op9_chat_prefix_target, op10_media_chunks)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_toxicity, op4_minhash, op5_license_scan, op6_sentencepiece, op7_decontamination, op8_substring_dedup, op9_chat_prefix_target, op10_media_chunks)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINES_SQL}
