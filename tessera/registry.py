@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import rollups
+from .queries import logs, pixels, rollups
 
-MODULES = (rollups,)
+MODULES = (rollups, logs, pixels)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
