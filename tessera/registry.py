@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import logs, pixels, rollups
+from .queries import logs, pixels, regions, rollups
 
-MODULES = (rollups, logs, pixels)
+MODULES = (rollups, logs, pixels, regions)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
