@@ -39,6 +39,7 @@ SPACE = "▁"
 #: Chunks up to so many characters are segmented together.
 WIDEST = 40
 NONE = 1 << 40
+_VARIANT_OF = bytes(b % VARIANTS for b in range(256))
 
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("token_ids", pa.list_(pa.int32())), ("decoded_crc32", pa.int64())])
@@ -59,7 +60,8 @@ class Pieces:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         crossing = any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces)
         self.chunks = (lambda text: [text]) if crossing else _CHUNK.findall
-        self.kept: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
+        self.kept: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         by_score = sorted(pieces.items(), key=lambda x: (-x[1][1], x[1][0]))
         self.id_of_rank = np.array([i for _, (i, _) in by_score], np.int64)
         self.rank = {i: r for r, (_, (i, _)) in enumerate(by_score)}
@@ -131,63 +133,77 @@ class Pieces:
             i = after[i]
         return out
 
-    def segment_many(self, chunks: list[str], variant: int) -> list[list[int]]:
-        """segment() for many chunks at once: one row of symbols a chunk, and each round takes the best candidate of every
-        row off its agenda. Rows with characters that have no piece, and long ones, go through segment()."""
-        out: list[list[int] | None] = [None] * len(chunks)
+    def segment_many(self, chunks: list[str], variant: int | list[int]) -> list[list[int]]:
+        """segment() for many chunks at once (one variant, or one a chunk): one row of symbols a chunk, and each round takes
+        the best candidate of every row off its agenda. Rows with characters that have no piece, and long ones, go through
+        segment()."""
+        return [np.frombuffer(b, np.int32).tolist() for b in self._packed_many(chunks, variant)]
+
+    def _packed_many(self, chunks: list[str], variant: int | list[int]) -> list[bytes]:
+        """segment_many() as bytes of 32-bit ids, which cost the interpreter's garbage collector nothing."""
+        out: list[bytes | None] = [None] * len(chunks)
+        variants = np.broadcast_to(np.asarray(variant, np.uint64), len(chunks))
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] <= WIDEST]
-        for lo in range(0, len(order), 4096):
-            self._segment_rows(chunks, order[lo : lo + 4096], lengths, variant, out)
-        return [self.segment(c, variant) if o is None else o for c, o in zip(chunks, out, strict=True)]
+        for lo in range(0, len(order), 8192):
+            self._segment_rows(chunks, order[lo : lo + 8192], lengths, variants, out)
+        return [np.array(self.segment(c, int(v)), np.int32).tobytes() if o is None else o for c, v, o in zip(chunks, variants, out, strict=True)]
 
-    def _segment_rows(self, chunks: list[str], rows: np.ndarray, lengths: np.ndarray, variant: int, out: list) -> None:
+    def _segment_rows(self, chunks: list[str], rows: np.ndarray, lengths: np.ndarray, variants: np.ndarray, out: list) -> None:
+        """Symbols are linked lists inside flat arrays: a join writes its first symbol and unlinks its second, so no row is
+        moved. Each row ends with a symbol -1, which joins with nothing."""
         width = int(lengths[rows[-1]])
-        text = "".join(chunks[i].ljust(width, "\0") for i in rows.tolist())
+        text = "".join([chunks[i].ljust(width, "\0") for i in rows.tolist()])
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(rows), width)
         ids = np.where(points < 65536, self.of_char[np.minimum(points, 65535)], -1)
-        n = lengths[rows]
-        known = ((ids >= 0) | (np.arange(width) >= n[:, None])).all(axis=1)
-        rows, ids, n = rows[known], ids[known], n[known]
-        ids = np.concatenate([ids, np.full((len(rows), 1), -1)], axis=1)
-        place = np.broadcast_to(np.arange(width + 1), ids.shape).copy()
-        rank = np.full(ids.shape, NONE, np.int64)
-        rank[:, :-1] = self._rank_of(ids[:, :-1], ids[:, 1:])
-        columns = np.arange(width + 1)
-        while len(rows):
-            r = np.arange(len(rows))
+        known = ((ids >= 0) | (np.arange(width) >= lengths[rows][:, None])).all(axis=1)
+        rows, ids = rows[known], ids[known]
+        if not len(rows):
+            return
+        rank = np.full((len(rows), width + 1), NONE, np.int64)
+        rank[:, :-2] = self._rank_of(ids[:, :-1], ids[:, 1:])
+        ids = np.concatenate([ids, np.full((len(rows), 1), -1)], axis=1).ravel()
+        after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        before[:: width + 1] = -1
+        base, variant = np.arange(len(rows)) * (width + 1), variants[rows]  # of the rows that still have candidates
+        own = base
+        while True:
             j = rank.argmin(axis=1)
-            best = rank[r, j]
-            done = best == NONE
-            if done.any():
-                for i, row, k in zip(rows[done].tolist(), ids[done].tolist(), n[done].tolist(), strict=True):
-                    out[i] = row[:k]
-                left = ~done
-                rows, ids, place, rank, n, j, best = rows[left], ids[left], place[left], rank[left], n[left], j[left], best[left]
-                continue
-            a, b = ids[r, j], ids[r, j + 1]
+            flat = rank.ravel()
+            best = flat[own + j]
+            going = np.flatnonzero(best != NONE)
+            if not len(going):
+                break
+            if len(going) < 0.7 * len(rank):
+                rank, base, variant, j, best = rank[going], base[going], variant[going], j[going], best[going]
+                flat, own = rank.ravel(), np.arange(len(rank)) * (width + 1)
+                at, shift = own + j, base - own
+            else:
+                j, best, at, shift = j[going], best[going], (own + j)[going], (base - own)[going]
+            first = at + shift
+            second = after[first]
             if self.cutoff:
                 with np.errstate(over="ignore"):
-                    keys = _key(np.uint64(self.seed), np.uint64(variant), a.astype(np.uint64), b.astype(np.uint64), place[r, j].astype(np.uint64))
+                    keys = _key(np.uint64(self.seed), variant if len(variant) == len(j) else variant[going], ids[first].astype(np.uint64), ids[second].astype(np.uint64), j.astype(np.uint64))
                 skip = mixed(keys) < np.uint64(self.cutoff)
-                rank[r[skip], j[skip]] = NONE
-            else:
-                skip = np.zeros(len(r), bool)
-            m = r[~skip]
-            if not len(m):
-                continue
-            jm = j[m]
-            take = np.minimum(columns + (columns > jm[:, None]), width)
-            ids[m], place[m], moved = np.take_along_axis(ids[m], take, 1), np.take_along_axis(place[m], take, 1), np.take_along_axis(rank[m], np.minimum(columns + (columns > jm[:, None]), width), 1)
-            ids[m, width] = -1
-            ids[m, jm] = self.id_of_rank[best[m]]
-            moved[:, width] = NONE
-            rank[m] = moved
-            n[m] -= 1
-            rank[m, jm] = self._rank_of(ids[m, jm], ids[m, np.minimum(jm + 1, width)])
-            some = jm > 0
-            rank[m[some], jm[some] - 1] = self._rank_of(ids[m[some], jm[some] - 1], ids[m[some], jm[some]])
+                flat[at[skip]] = NONE
+                best, at, shift, first, second = (x[~skip] for x in (best, at, shift, first, second))
+            joined = self.id_of_rank[best]
+            ids[first], ids[second] = joined, -1
+            flat[second - shift] = NONE
+            third = after[second]
+            after[first], before[third] = third, first
+            flat[at] = self._rank_of(joined, ids[third])
+            some = before[first] >= 0
+            left = before[first][some]
+            flat[left - shift[some]] = self._rank_of(ids[left], joined[some])
+        ids = ids.reshape(len(rows), width + 1)
+        ends = (4 * np.cumsum((ids >= 0).sum(axis=1))).tolist()
+        every, lo = ids[ids >= 0].astype(np.int32).tobytes(), 0
+        for i, hi in zip(rows.tolist(), ends, strict=True):
+            out[i] = every[lo:hi]
+            lo = hi
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the piece that two neighbours make; NONE if they make none."""
@@ -195,31 +211,38 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == want) & (left >= 0) & (right >= 0), self.pair_ranks[at], NONE)
 
-    def encode_many(self, texts: list[str], keys: list[int]) -> list[list[int]]:
-        """Ids of each text; its key names the document for the choice of variants."""
-        chunks = [self.chunks(" " + t) if t else [] for t in texts]
-        variants = [[v % VARIANTS for v in hashlib.shake_128(f"{self.seed} {k}".encode()).digest(len(c))] for c, k in zip(chunks, keys, strict=True)]
-        need: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for mine, which in zip(chunks, variants, strict=True):
-            for chunk, v in zip(mine, which, strict=True):
-                if chunk not in self.kept[v]:
-                    need[v].add(chunk)
-        for v, want in enumerate(need):
-            if len(self.kept[v]) + len(want) > KEPT // VARIANTS:
-                want |= {c for mine, which in zip(chunks, variants, strict=True) for c, w in zip(mine, which, strict=True) if w == v}
-                self.kept[v] = {}
-            want = list(want)
-            self.kept[v].update(zip(want, self.segment_many(want, v), strict=True))
-        out = []
-        for mine, which in zip(chunks, variants, strict=True):
-            ids: list[int] = []
-            for chunk, v in zip(mine, which, strict=True):
-                ids += self.kept[v][chunk]
-            out.append(ids)
-        return out
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids (int32) of each text; its key names the document for the choice of variants. Segmented chunks are kept in two
+        generations: when the younger is full, it becomes the older one, and chunks in use go on to the next."""
+        pieces: list[list] = []
+        holes: list[tuple[list, int, tuple[str, int]]] = []
+        for text, key in zip(texts, keys, strict=True):
+            mine = self.chunks(" " + text) if text else []
+            which = hashlib.shake_128(f"{self.seed} {key}".encode()).digest(len(mine)).translate(_VARIANT_OF)
+            got = [self.kept[v].get(c) for c, v in zip(mine, which, strict=True)]
+            if None in got:
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        c, v = mine[i], which[i]
+                        old = self.older[v].get(c)
+                        if old is None:
+                            holes.append((got, i, (c, v)))
+                        else:
+                            got[i] = self.kept[v][c] = old
+            pieces.append(got)
+        need = list({x: None for _, _, x in holes})
+        fresh = dict(zip(need, self._packed_many([c for c, _ in need], [v for _, v in need]), strict=True))
+        for got, i, x in holes:
+            got[i] = fresh[x]
+        for (c, v), ids in fresh.items():
+            self.kept[v][c] = ids
+        for v in range(VARIANTS):
+            if len(self.kept[v]) > KEPT // VARIANTS // 2:
+                self.older[v], self.kept[v] = self.kept[v], {}
+        return [np.frombuffer(b"".join(got), np.int32) for got in pieces]
 
     def encode(self, text: str, key: int) -> list[int]:
-        return self.encode_many([text], [key])[0]
+        return self.encode_many([text], [key])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
@@ -231,7 +254,7 @@ class Pieces:
             docs = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, text, ids in zip(docs, texts, self.encode_many(texts, [d or 0 for d in docs]), strict=True):
-                back = self.decode(ids)
+                back = self.decode(ids.tolist())
                 if back != text:
                     raise ValueError(f"document {doc_id} doesn't decode to its text")
                 rows.append((doc_id, len(ids), ids, zlib.crc32(back.encode())))
