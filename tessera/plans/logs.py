@@ -55,3 +55,16 @@ def filter_events(log: DataFrame, fields: dict[str, list], how: str = "AND") ->
     for t in terms[1:]:
         out = out & t if how == "AND" else out | t
     return log.filter(out)
+
+
+def throughput(resampled: DataFrame, interval: int, key: str = "eventType", span: int = 1_000_000) -> DataFrame:
+    """Sliding throughput of resampled data (key, bucket, value): the sum over a centred window of `span`, in 2^30 units;
+    peak, mean and sample deviation per key over all buckets from 1 to the last one, empty ones included. A key's rows are
+    as many as the buckets, whatever the events."""
+    k = round(span / interval)
+    last = resampled.groupBy().agg(F.max("bucket").alias("last"))
+    grid = resampled.select(key).distinct().join(F.broadcast(last)).select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("bucket"))
+    w = Window.partitionBy(key).orderBy("bucket").rowsBetween(-(k - 1 - k // 2), k // 2)
+    dense = grid.join(resampled.select(key, F.col("bucket").cast("long").alias("bucket"), "value"), [key, "bucket"], "left").fillna(0.0, ["value"])
+    rate = dense.withColumn("rate", F.sum("value").over(w) / float(1 << 30))
+    return rate.groupBy(key).agg(F.max("rate").alias("peak"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("std"))

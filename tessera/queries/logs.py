@@ -42,6 +42,11 @@ def win_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(logs.resample(log_events(spark, sf_dir), INTERVAL), "value")
 
 
+def win_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = 3_600_000_000  # the driver's events span years, so buckets of an hour and windows of five hours
+    return _round(logs.throughput(logs.resample(log_events(spark, sf_dir), wide), wide, span=5 * wide), "peak", "mean", "std", digits=9)
+
+
 def prj_stage_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.collapse_runs(log_events(spark, sf_dir), F.col("eventName") == "click")
 
@@ -72,7 +77,7 @@ _SUM = _LOG + """, part as (select pid, eventType, count(*) as n, min((endT - st
   s as (select p.pid, t.eventType, coalesce(n, 0) as n, coalesce(min_ms, 0) as min_ms, coalesce(max_ms, 0) as max_ms, coalesce(total_ms, 0) as total_ms, coalesce(sq_ms, 0) as sq_ms, coalesce(data, 0) as data
   from (select distinct pid from log) p cross join (select distinct eventType from log) t left join part using (pid, eventType)) """
 
-QUERIES = {f.__name__: f for f in (agg_process_summary, agg_type_summary, win_resample, prj_stage_collapse, flt_events, agg_wall_time, agg_running_stats, agg_rollup_types)}
+QUERIES = {f.__name__: f for f in (agg_process_summary, agg_type_summary, win_resample, win_throughput, prj_stage_collapse, flt_events, agg_wall_time, agg_running_stats, agg_rollup_types)}
 ORACLE_SQL = {
     "agg_process_summary": _SUM + "select pid, eventType, n, round(min_ms, 4) as min_ms, round(max_ms, 4) as max_ms, round(total_ms, 4) as total_ms, round(sq_ms, 4) as sq_ms, data from s",
     "agg_type_summary": _SUM + """select eventType, sum(n)::bigint as n, round(min(min_ms), 4) as min_ms, round(max(max_ms), 4) as max_ms, round(sum(total_ms), 4) as total_ms,
@@ -80,6 +85,11 @@ ORACLE_SQL = {
       round(coalesce(case when sum(n) > 1 then sqrt(greatest((sum(sq_ms) - sum(n) * (sum(total_ms) / sum(n)) * (sum(total_ms) / sum(n))) / (sum(n) - 1), 0)) end, 0), 4) as std_ms from s group by eventType""",
     "win_resample": _LOG + f""", b as (select *, unnest(generate_series(cast(ceil(startT / {INTERVAL}.0) as bigint), cast(ceil(endT / {INTERVAL}.0) as bigint))) as bucket from log)
       select eventType, bucket, round(sum(attribute * (least(endT, bucket * {INTERVAL}) - greatest(startT, (bucket - 1) * {INTERVAL} + 1) + 1) / (endT - startT + 1)::double), 4) as value from b group by all""",
+    "win_throughput": _LOG + """, b as (select *, unnest(generate_series(cast(ceil(startT / 3600000000.0) as bigint), cast(ceil(endT / 3600000000.0) as bigint))) as bucket from log),
+      r as (select eventType, bucket, sum(attribute * (least(endT, bucket * 3600000000) - greatest(startT, (bucket - 1) * 3600000000 + 1) + 1) / (endT - startT + 1)::double) as value from b group by all),
+      g as (select t.eventType, u.bucket from (select distinct eventType from r) t cross join (select unnest(generate_series(1, (select max(bucket) from r))) as bucket) u),
+      s as (select eventType, sum(coalesce(value, 0)) over (partition by eventType order by bucket rows between 2 preceding and 2 following) / 1073741824.0::double as rate from g left join r using (eventType, bucket))
+      select eventType, round(max(rate), 9) as peak, round(avg(rate), 9) as mean, round(stddev_samp(rate), 9) as std from s group by eventType""",
     "prj_stage_collapse": _LOG + """, i as (select *, sum(case when eventName = 'click' then 1 else 0 end) over (partition by pid order by startT, seq rows unbounded preceding)::bigint as island from log)
       select pid, island, min(startT) as startT, max(endT) as endT, arg_max(eventName, (startT, seq)) as last_event, count(*) as n_events from i group by pid, island""",
     "flt_events": _LOG + "select seq, pid, eventName from log where eventName in ('click', 'view') or eventType not in (31)",
