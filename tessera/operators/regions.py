@@ -78,3 +78,24 @@ def fill_holes(mask: DataFrame, conn: int = 8) -> DataFrame:
     outer = off.join(edge, "tile").filter("x in (x0, x1) or y in (y0, y1)").select("tile", "label").distinct()
     holes = off.join(outer, ["tile", "label"], "left_anti")
     return mask.filter("on").select("tile", "y", "x").unionByName(holes.select("tile", "y", "x"))
+
+
+def plateaus(pixels: DataFrame, value: str, conn: int = 8) -> DataFrame:
+    """tile, y, x, value, label: regions of neighbours with equal values; each pixel of the tile is in one."""
+    w = Window.partitionBy("tile", "y").orderBy("x")
+    p = pixels.select("tile", "y", "x", F.col(value).alias("value"))
+    same = (F.lag("x").over(w) == F.col("x") - 1) & F.lag("value").over(w).eqNullSafe(F.col("value"))
+    runs = p.withColumn("s", F.when(~F.coalesce(same, F.lit(False)), F.col("x")))
+    run = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = cut(runs.select("tile", "y", "x", "value", (F.col("y").cast("long") * STRIDE + run).alias("node")))
+    reach = F.array(*(F.lit(d) for d in ((-1, 0, 1) if conn == 8 else (0,))))
+    below = runs.select("tile", (F.col("y") - 1).alias("y"), "value", F.col("node").alias("b"), "x", F.explode(reach).alias("d")).select("tile", "y", (F.col("x") + F.col("d")).alias("x"), "value", "b")
+    links = runs.join(below, ["tile", "y", "x", "value"]).select("tile", F.col("node").alias("a"), "b").distinct()
+    found = lowest_reachable(runs.select("tile", "node").distinct(), links)
+    return runs.join(found, ["tile", "node"]).select("tile", "y", "x", "value", "label")
+
+
+def fill_from(mask: DataFrame, seeds: DataFrame, conn: int = 8) -> DataFrame:
+    """tile, y, x of the mask with the off regions that a seed touches."""
+    off = label(mask.select("tile", "y", "x", (~F.col("on")).alias("on")), conn)
+    return mask.filter("on").select("tile", "y", "x").unionByName(select_seeded(off, seeds).select("tile", "y", "x"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,90 @@ def throughput(resampled: DataFrame, interval: int, key: str = "eventType", span
     dense = grid.join(resampled.select(key, F.col("bucket").cast("long").alias("bucket"), "value"), [key, "bucket"], "left").fillna(0.0, ["value"])
     rate = dense.withColumn("rate", F.sum("value").over(w) / float(1 << 30))
     return rate.groupBy(key).agg(F.max("rate").alias("peak"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("std"))
+
+
+def aggregate_rows(log: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
+    """Per key: the sorted distinct values of the other identifiers (small domains such as hosts and sessions), and the
+    count, span and data of the events. No keys make one group."""
+    sets = [F.sort_array(F.collect_set(c)).alias(c) for c in others]
+    return log.groupBy(*keys).agg(*sets, F.count("*").alias("n_events"), F.min("startT").alias("first"), F.max("endT").alias("last"), F.sum("attribute").alias("data"))
+
+
+def node_type(sessions: Column, layouts: list[tuple[str, str]]) -> Column:
+    """The label of the first layout whose session is among the sessions; None if there is none."""
+    out = F.lit(None).cast("string")
+    for session, label in reversed(layouts):
+        out = F.when(F.array_contains(sessions, session), label).otherwise(out)
+    return out
+
+
+def across_processes(summary: DataFrame, columns: list[str]) -> DataFrame:
+    """min, max, mean and sample deviation of columns over the processes, per event type; the absent count as zero."""
+    return summary.groupBy("eventType").agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))))
+
+
+def outcome_mix(log: DataFrame, outcomes: list[str]) -> DataFrame:
+    """Share, mean and sample deviation of the duration (inclusive) per outcome among the events of those names."""
+    d = (F.col("endT") - F.col("startT") + 1).cast("double")
+    per = log.filter(F.col("eventName").isin(outcomes)).groupBy("eventName").agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("std"))
+    total = per.groupBy().agg(F.sum("n").alias("total"))  # one row
+    return per.join(F.broadcast(total)).select("eventName", (F.col("n") / F.col("total")).alias("share"), "mean", "std")
+
+
+def occupancy(log: DataFrame, interval: int, key: str = "eventType") -> DataFrame:
+    """Busy time of each bucket as a fraction of its length, summed over the events: key, bucket, value."""
+    busy = log.withColumn("attribute", (F.col("endT") - F.col("startT") + 1).cast("double"))
+    return resample(busy, interval, key).withColumn("value", F.col("value") / interval)
+
+
+def concurrency(log: DataFrame, classes: Column, slice_width: int) -> DataFrame:
+    """Sweep over starts (+1) and ends (-1): cls, host, peak, busy (sum of active time) and load (busy over the span of
+    host and class). `classes` maps events to classes; null ones are left out.
+
+    Time is cut into slices, so that no window holds a whole host: the running sum within a slice starts from the sum of
+    all earlier slices, which comes from a window over one row per slice."""
+    keys = ["cls", "host"]
+    e = log.select(classes.alias("cls"), F.col("hostName").alias("host"), "startT", "endT").filter("cls is not null")
+    step = e.select(*keys, F.explode(F.array(F.struct(F.col("startT").alias("t"), F.lit(1).alias("d")), F.struct(F.col("endT").alias("t"), F.lit(-1).alias("d")))).alias("s"))
+    delta = step.groupBy(*keys, F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d")).withColumn("slice", F.floor(F.col("t") / slice_width))
+    per = delta.groupBy(*keys, "slice").agg(F.sum("d").alias("d"))
+    before = per.select(*keys, "slice", (F.sum("d").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("d")).alias("before"))
+    inside = F.sum("d").over(Window.partitionBy(*keys, "slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    level = delta.withColumn("inside", inside).join(before, [*keys, "slice"]).withColumn("level", F.col("inside") + F.col("before"))
+    peak = level.groupBy(*keys).agg(F.max("level").alias("peak"))
+    busy = e.groupBy(*keys).agg(F.sum(F.col("endT") - F.col("startT")).alias("busy"), (F.max("endT") - F.min("startT")).alias("span"))
+    return peak.join(busy, keys).select(*keys, "peak", "busy", (F.col("busy") / F.when(F.col("span") > 0, F.col("span"))).alias("load"))
+
+
+def equal_bins(log: DataFrame, value: Column, bins: int, key: str = "eventType") -> DataFrame:
+    """Counts in equally wide bins between the least and the greatest value of all rows: key, bin (from 0), n."""
+    rows = log.select(key, value.cast("double").alias("v"))
+    ends = rows.groupBy().agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    return rows.join(F.broadcast(ends)).groupBy(key, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def repair(log: DataFrame, wrong: int, right: int, sized: int, size: int) -> DataFrame:
+    """Events of the wrong type relabelled; events of type `sized` without an attribute get the size."""
+    kind = F.when(F.col("eventType") == wrong, right).otherwise(F.col("eventType"))
+    return log.withColumns({"eventType": kind, "attribute": F.when(kind == sized, F.coalesce("attribute", F.lit(size))).otherwise(F.col("attribute"))})
+
+
+def replace_times(runs: DataFrame, measured: DataFrame, key: str, column: str) -> DataFrame:
+    """The column of runs replaced by the measured one where there is a measurement."""
+    got = measured.select(key, F.col(column).alias("_measured"))
+    return runs.join(got, key, "left").withColumn(column, F.coalesce("_measured", column)).drop("_measured")
+
+
+def run_status(text: Column, limit: str) -> Column:
+    """How a run ended, by its console text: the first rule that applies; None for a run without an error."""
+    # Patterns and their states, in order.
+    signal = r"exit signal (Aborted|Terminated|Segmentation fault)"
+    return (
+        F.when(text.rlike(r"(?i)MPI(CH2)? ERROR"), "MPI ERROR")
+        .when(text.rlike(signal), F.regexp_extract(text, signal, 1))
+        .when(text.rlike("Invalid argument"), "INVALID ARG")
+        .when(text.rlike(r"Other I/O error"), "IO ERROR")
+        .when(text.rlike("(?i)exceeded"), F.lit("> " + limit))
+        .when(text.rlike(r"(?i)\n([^\n]*fail|error[^\n]*)\n"), "OTHER FAILURE")
+    )

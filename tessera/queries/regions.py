@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import morphology, regions
+from ..operators import basins, morphology, regions
 from .pixels import _PX, _gray
 
 # A pixel is on at LEVEL or more, and a seed at SEED or more.
@@ -55,6 +55,23 @@ def mor_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.reconstruct(px, "gray", "marker", 8)
 
 
+def mor_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basins.regional(_gray(spark, sf_dir), "gray", 8)
+
+
+def mor_hmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basins.drop_shallow_minima(_gray(spark, sf_dir), "gray", 20, 8)
+
+
+def mor_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basins.basins(_gray(spark, sf_dir), "gray", 8)
+
+
+def cc_fill_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = _mask(spark, sf_dir)
+    return regions.fill_from(mask, mask.filter("y = 3 and x = 3"), 4)
+
+
 def _reach(on: str, conn: int) -> str:
     near = "abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1" if conn == 8 else "abs(a.y - b.y) + abs(a.x - b.x) <= 1"
     sql = _PX.replace("with e as", "with recursive e as", 1)
@@ -65,8 +82,19 @@ def _reach(on: str, conn: int) -> str:
 
 
 _ON, _OFF = f"gray >= {LEVEL}", f"gray < {LEVEL}"
-QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct)}
+QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct, mor_maxima, mor_hmin, mor_basins, cc_fill_seeds)}
+_FLAT = """, n8 as materialized (select a.tile, a.node as p, a.gray as v, b.node as r, b.gray as u from o a join o b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.node != b.node),
+  reach as (select tile, node as p, node as r from o union select n.tile, reach.p, n.r from reach join n8 n on n.tile = reach.tile and n.p = reach.r and n.u = n.v),
+  f as materialized (select tile, p, min(r) as label from reach group by all) """
+_ALL = _PX.replace("with e as", "with recursive e as", 1) + f", o as materialized (select tile, y, x, gray, y::bigint * {regions.STRIDE} + x as node from q)" + _FLAT
 ORACLE_SQL = {
+    "mor_maxima": _ALL + """, bad as (select distinct f.tile, f.label from f join n8 on n8.tile = f.tile and n8.p = f.p and n8.u > n8.v)
+      select o.tile, o.y, o.x, f.label from o join f on o.tile = f.tile and o.node = f.p where (f.tile, f.label) not in (select (tile, label) from bad)""",
+    "cc_fill_seeds": _reach(_OFF, 4) + f"select tile, y, x from q where {_ON} union all select tile, y, x from l where (tile, label) in (select (tile, label) from l where y = 3 and x = 3)",
+    "mor_basins": _ALL + """, dn as materialized (select a.tile, a.label, arg_min(b.label, (n8.u, b.label)) as nxt from n8 join f a on a.tile = n8.tile and a.p = n8.p join f b on b.tile = n8.tile and b.p = n8.r where n8.u < n8.v group by all),
+      way as (select distinct tile, label, label as at from f union select way.tile, way.label, dn.nxt from way join dn on dn.tile = way.tile and dn.label = way.at),
+      root as (select way.tile, way.label, way.at from way anti join dn on dn.tile = way.tile and dn.label = way.at)
+      select o.tile, o.y, o.x, root.at as basin from o join f on o.tile = f.tile and o.node = f.p join root on root.tile = f.tile and root.label = f.label""",
     "cc_label": _reach(_ON, 8) + "select tile, y, x, label from l",
     "cc_label4_numbered": _reach(_ON, 4) + "select tile, y, x, label, dense_rank() over (partition by tile order by label)::int as number from l",
     "cc_boxes": _reach(_ON, 8) + "select tile, label, count(*) as area, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y from l group by tile, label having count(*) >= 3 and count(*) < 30",
