@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import learning, logs, objects, pixels, processes, regions, rollups
+from .queries import learning, logs, objects, pixels, processes, regions, rollups, tables
 
-MODULES = (rollups, logs, processes, pixels, regions, objects, learning)
+MODULES = (rollups, logs, processes, pixels, regions, objects, learning, tables)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
