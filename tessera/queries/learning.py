@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import learning, rollup
+from ..plans import contours, learning, rollup
 
 # Rows that start the clusters, rounds.
 STARTS, ROUNDS = (0, 1, 2, 3), 3
@@ -74,7 +74,19 @@ def without_prefixes(rows: DataFrame, column: str, listed: DataFrame) -> DataFra
     return rows
 
 
-QUERIES = {f.__name__: f for f in (ml_kmeans, ml_furthest_first, ml_zscore, ml_quadratic, agg_patients, agg_percent_difference, join_excluded)}
+def ml_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = learning.fit_distributions(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("value") + 0.001).alias("v")), ["event_type"], "v")
+    return got.select("event_type", "distribution", "n", F.round("nll", 2).alias("nll"), F.round("bic", 2).alias("bic"), "place")
+
+
+def fea_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order play the points of an outline."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").alias("ord"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 50).alias("y"), "l_suppkey", "l_partkey")
+    m = contours.measures(li.withColumn("ord", F.struct("ord", "l_suppkey", "l_partkey")), ["l_orderkey"])
+    return m.select("l_orderkey", "points", *(F.round(c, 5).alias(c) for c in ("area", "pixels", "length", "compactness", "diameter")), (F.round("bending", 5) + 0.0).alias("bending"))
+
+
+QUERIES = {f.__name__: f for f in (ml_kmeans, ml_furthest_first, ml_zscore, ml_quadratic, agg_patients, agg_percent_difference, join_excluded, ml_distributions, fea_contours)}
 
 
 def _lloyd() -> str:
@@ -88,6 +100,19 @@ def _lloyd() -> str:
 
 _X = "with x as (select vec_id as id, label, unnest(embedding)::double as v, cast(generate_subscripts(embedding, 1) - 1 as int) as feature_idx from embeddings), g as (select feature_idx, avg(v) as m, stddev_pop(v) as s from x group by 1) "
 ORACLE_SQL = {
+    "ml_distributions": """with s as (select event_type, count(*) as n, avg(v) as m, stddev_pop(v) as s, min(v) as lo, max(v) as hi, avg(case when v > 0 then ln(v) end) as lm, stddev_pop(case when v > 0 then ln(v) end) as ls
+        from (select event_type, value + 0.001::double as v from events) group by 1),
+      f as (select event_type, n, 'normal' as distribution, 2 as k, n * (ln(s) + 0.5::double * ln(2 * pi()) + 0.5::double) as nll from s where s > 0
+        union all select event_type, n, 'exponential', 1, n * (ln(m) + 1) from s where lo >= 0 and m > 0
+        union all select event_type, n, 'lognormal', 2, n * (ln(ls) + 0.5::double * ln(2 * pi()) + 0.5::double + lm) from s where lo > 0 and ls > 0
+        union all select event_type, n, 'uniform', 2, n * ln(hi - lo) from s where hi > lo)
+      select event_type, distribution, n, round(nll, 2) as nll, round(2 * nll + k * ln(n), 2) as bic, row_number() over (partition by event_type order by 2 * nll + k * ln(n), distribution)::int as place from f""",
+    "fea_contours": """with p as (select l_orderkey, l_quantity as x, (l_partkey % 50)::double as y, row_number() over w as i, count(*) over (partition by l_orderkey) as c from lineitem window w as (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey)),
+      e as (select a.l_orderkey, a.x, a.y, b.x as nx, b.y as ny, b.x - a.x as dx, b.y - a.y as dy from p a join p b on a.l_orderkey = b.l_orderkey and b.i = a.i % a.c + 1),
+      s as (select l_orderkey, count(*) as points, abs(sum(x * ny - nx * y)) / 2 as area, sum(sqrt(dx * dx + dy * dy)) as length, sum(greatest(abs(dx), abs(dy))) as edge,
+        sum(case when dx != 0 then atan(dy / dx) else sign(dy) * pi() / 2 end) as bending from e group by 1)
+      select l_orderkey, points, round(area, 5) as area, round(area + edge / 2 + 1, 5) as pixels, round(length, 5) as length, round(case when area > 0 then length * length / area - 4 * pi() end, 5) as compactness,
+       round(case when area > 0 then 2 * sqrt(area / pi()) end, 5) as diameter, round(bending, 5) + 0.0 as bending from s""",
     "ml_kmeans": _lloyd(),
     "ml_zscore": _X + "select id, feature_idx, round((v - m) / s, 5) as z from x join g using (feature_idx)",
     "agg_patients": _X + "select label, feature_idx, round((avg(v) - any_value(m)) / any_value(s), 5) as mean_z, round(stddev_pop(v) / any_value(s), 5) as std_ratio from x join g using (feature_idx) group by label, feature_idx",
