@@ -160,6 +160,53 @@ def test_passages(spark, odd):
     assert passages.repeated_passages(empty(odd)).count() == 0
 
 
+def best_chains(at, to):
+    """Best score of a chain that ends at each match, by trying all predecessors."""
+    out = {}
+    for i in sorted(range(len(at)), key=lambda i: at[i]):
+        near = [j for j in out if 0 < at[i] - at[j] <= passages.LONGEST_GAP and 0 < to[i] - to[j] <= passages.LONGEST_GAP]
+        out[i] = passages.K + max([0.0, *(out[j] - passages.GAP_COST * (at[i] - at[j] + to[i] - to[j]) for j in near)])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_of_several_passages(seed):
+    rng = random.Random(seed)
+    matches, x = set(), 0
+    for y in rng.sample(range(0, 3000, 500), rng.randrange(1, 5)):
+        x += rng.randrange(1, 600)
+        for _ in range(rng.randrange(2, 60)):
+            matches.add((x, y))
+            x, y = x + rng.randrange(1, 12), y + rng.randrange(1, 12)
+    matches |= {(rng.randrange(x), rng.randrange(3500)) for _ in range(rng.randrange(80))}
+    matches = sorted(matches, key=lambda _: rng.random())
+    at, to = [m[0] for m in matches], [m[1] for m in matches]
+    got, best = passages.chains(at, to), best_chains(at, to)
+    assert sorted(i for c in got for i in c) == list(range(len(at)))
+    cost = lambda i, j: passages.GAP_COST * (at[j] - at[i] + to[j] - to[i])
+    for c in got:
+        assert all(0 < at[j] - at[i] <= passages.LONGEST_GAP and 0 < to[j] - to[i] <= passages.LONGEST_GAP for i, j in zip(c, c[1:]))
+    whole = passages.K * len(got[0]) - sum(cost(i, j) for i, j in zip(got[0], got[0][1:]))
+    assert whole == pytest.approx(max(best.values()))
+
+
+@pytest.mark.parametrize("gap", [50, 70, 300, 5000])
+def test_chains_behind_a_long_gap(gap):
+    first, second = list(range(0, 500, 6)), list(range(500 + gap, 700 + gap, 6))
+    got = passages.chains(first + second, first + second)
+    assert sorted(len(c) for c in got) == (sorted([len(first), len(second)]) if gap > 60 else [len(first) + len(second)])
+
+
+def test_several_passages_a_pair(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"g{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, r = fresh(200), fresh(60), fresh(60)
+    rows = [(0, p + fresh(90) + q + fresh(300) + r), (1, p + fresh(90) + q + fresh(90) + r), (2, r + fresh(80) + q), (3, p[:100] + fresh(80) + p[100:])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(g.doc_id, g.first_word, g.n_words, g.src_first_word) for g in passages.repeated_passages(docs).collect()}
+    assert got == {(1, 0, 200, 0), (1, 290, 60, 290), (1, 440, 60, 650), (2, 0, 60, 650), (2, 140, 60, 290), (3, 0, 100, 0), (3, 180, 100, 100)}
+
+
 def test_chat(spark):
     got = {r.conv_id: r for r in chat.op9_chat_prefix_target(spark, DIR).collect()}
     turns = duckdb.sql(f"select conv_id, role, coalesce(text, '') from '{DIR}/conversations.parquet' order by conv_id, turn").fetchall()
