@@ -4,11 +4,12 @@ A text becomes a payload: its UTF-8 bytes (null: none) and bytes 255 up to the n
 gear hash cuts the payload into chunks; equal chunks have equal digests wherever they stand. The stored form of a payload
 is its ordered chunk list (digest and length of each chunk) and the chunks' 8-bit samples.
 
-Chunks that one payload alone has stay in that document's row. Chunks that several payloads share go to a chunk store with
-one copy a digest, and come back by a join on the digest. Which chunks are shared is known from digests alone: a first
-pass groups them, and a bitmap of fixed size (BITMAP_BITS, so 4 MB whatever the input) tells the second pass which chunks
-to send. A false hit in the bitmap only sends a chunk that could have stayed. Every chunk read back is checked against its
-digest and every payload against its own; a mismatch raises.
+Every document's chunk list and one copy of every distinct chunk (deflated) are written to the shared folder and read again.
+Which chunks several documents have is known from the written lists: a bitmap of fixed size (BITMAP_BITS, so 4 MB whatever
+the input) tells the second pass. Chunks of one document alone are stored as they come, under that document's payload;
+the others are stored once a digest, by grouping, and are joined to the payloads on the digest. A false hit in the bitmap only
+groups a chunk that stands alone. Payloads are put together from their lists and the stored chunks, and all columns come from
+them. Every chunk read back is checked against its digest and every payload against its own; a mismatch raises.
 
 Defined results: a null or empty text gives one unit of bytes 255; repeated rows and equal texts give equal values; rows
 with a null doc_id are kept; an empty table gives no rows; extra columns are ignored.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FLUSH_SIZE, bit_words, has_bit, slices, table
+from .common import FLUSH_SIZE, bit_words, cut, has_bit, slices, table
 
 UNIT, FILL = 576, 255
 #: Chunk lengths in bytes: the least, the mean beyond it (as bits), the most.
@@ -99,21 +100,31 @@ def features_of(chunks: list[tuple[bytes, bytes]], key: bytes) -> tuple:
     return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(manifest) + len(data), media.hexdigest(), feature
 
 
-def _digest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's payload digest and ordered chunk list."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32())]))]
     for batch in slices(batches):
-        names, keys = [], []
-        for text in batch.column("text").to_pylist():
-            _, data = payload_of(text)
-            mine = {name for name, _ in chunks_of(data)}
-            names += mine
-            keys += [digest(data)] * len(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.binary())], names=["digest", "payload"])
-
-
-def shared_bitmap(docs: DataFrame) -> np.ndarray:
-    """Bitmap of the digests that more than one payload has. At most BITMAP_BITS / 64 words come to the driver."""
-    pairs = docs.select("text").mapInArrow(_digest_pass, "digest binary, payload binary")
-    shared = pairs.groupBy("digest").agg(F.min("payload").alias("a"), F.max("payload").alias("b")).filter("a != b")
+        rows = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            n, data = payload_of(text)
+            rows.append((doc_id, n, digest(data), [{"digest": name, "length": len(x)} for name, x in chunks_of(data)]))
+        if rows:
+            yield _batch(rows, kinds)
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f"c{i}" for i in range(len(kinds))])
+
+
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """The written lists: one row per document."""
+    return cut(docs.mapInArrow(_list_pass, "doc_id long, n_bytes long, payload binary, chunks array<struct<digest:binary,length:int>>"))
+
+
+def shared_bitmap(lists: DataFrame) -> np.ndarray:
+    """Bitmap of the digests that more than one document has. At most BITMAP_BITS / 64 words come to the driver."""
+    held = lists.select(F.explode(F.array_distinct("chunks.digest")).alias("digest"))
+    shared = held.groupBy("digest").count().filter("count > 1")
     bit = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long") % BITMAP_BITS
     return bit_words(shared, [bit], BITMAP_BITS)
 
@@ -122,74 +133,67 @@ def _flagged(names: list[bytes], bitmap: np.ndarray) -> list[bool]:
     return has_bit(bitmap, np.array([int.from_bytes(x[:6], "big") % BITMAP_BITS for x in names], np.uint64)).tolist()
 
 
-class _Pass:
-    """Second pass over the documents; what it gives depends on the mode. alone: features of payloads none of whose
-    chunks is flagged. store: the flagged chunks. places: for the other payloads, each chunk's place, with the bytes of
-    chunks that aren't flagged. keys: the other documents with their payload's digest."""
+class _Chunks:
+    """The distinct chunks of each document that are flagged, or those that aren't, with the payload's digest."""
 
-    def __init__(self, mode: str, bitmap: np.ndarray) -> None:
-        self.mode, self.bitmap = mode, bitmap
+    def __init__(self, flagged: bool, bitmap: np.ndarray) -> None:
+        self.flagged, self.bitmap = flagged, bitmap
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary()] * 3
         for batch in slices(batches):
             rows: list[tuple] = []
             size = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                n, data = payload_of(text)
-                chunks, key = chunks_of(data), digest(data)
-                flags = _flagged([name for name, _ in chunks], self.bitmap)
-                if self.mode == "alone":
-                    if not any(flags):
-                        rows.append((doc_id, n, *features_of(chunks, key)))
-                elif any(flags):
-                    if self.mode == "store":
-                        rows += [x for x, flag in zip(chunks, flags, strict=True) if flag]
-                    elif self.mode == "keys":
-                        rows.append((doc_id, n, key))
-                    else:
-                        rows += [(key, i, name, None if flag else x) for i, ((name, x), flag) in enumerate(zip(chunks, flags, strict=True))]
-                    size += len(data)
+            for text in batch.column("text").to_pylist():
+                _, data = payload_of(text)
+                chunks, key = dict(chunks_of(data)), digest(data)
+                for (name, x), flag in zip(chunks.items(), _flagged(list(chunks), self.bitmap), strict=True):
+                    if flag == self.flagged:
+                        rows.append((key, name, zlib.compress(x)))
+                        size += len(x)
                 if size > FLUSH_SIZE:
-                    yield self.batch(rows)
+                    yield _batch(rows, kinds)
                     rows, size = [], 0
             if rows:
-                yield self.batch(rows)
+                yield _batch(rows, kinds)
+
 
-    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        text, n, raw = pa.string(), pa.int64(), pa.binary()
-        kinds = {"alone": [n, n, n, text, n, n, text, text], "store": [raw, raw], "places": [raw, pa.int32(), raw, raw], "keys": [n, n, raw]}[self.mode]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f"c{i}" for i in range(len(kinds))])
+def chunk_store(docs: DataFrame, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The written chunks, one row a digest: those of one document (payload, digest, bytes), and the others (digest, bytes)."""
+    fields = "payload binary, digest binary, bytes binary"
+    own = cut(docs.select("text").mapInArrow(_Chunks(False, bitmap), fields))
+    sent = docs.select("text").mapInArrow(_Chunks(True, bitmap), fields)
+    return own, cut(sent.groupBy("digest").agg(F.first("bytes").alias("bytes")))
 
 
 def _reconstruct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in slices(batches, 64):
         rows = []
-        for key, chunks in zip(batch.column("payload").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
-            chunks = sorted(((c["place"], c["digest"], c["bytes"]) for c in chunks), key=lambda c: c[0])
-            rows.append((key, *features_of([(name, data) for _, name, data in chunks], key)))
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f"c{i}" for i in range(7)])
-
-
-def chunk_store(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """One row per shared chunk: digest, bytes."""
-    sent = docs.select("doc_id", "text").mapInArrow(_Pass("store", bitmap), "digest binary, bytes binary")
-    return sent.groupBy("digest").agg(F.first("bytes").alias("bytes"))
+        for key, chunks, stored in zip(*(batch.column(c).to_pylist() for c in ("payload", "chunks", "stored")), strict=True):
+            found = {x["digest"]: zlib.decompress(x["bytes"]) for x in stored}
+            rows.append((key, *features_of([(c["digest"], found[c["digest"]]) for c in chunks], key)))
+        if rows:
+            yield _batch(rows, kinds)
+
+
+def read_back(lists: DataFrame, own: DataFrame, shared: DataFrame) -> DataFrame:
+    """FEATURES of every document, from the written lists and chunks alone."""
+    payloads = lists.groupBy("payload").agg(F.first("chunks").alias("chunks"))
+    wanted = payloads.select("payload", F.explode(F.array_distinct("chunks.digest")).alias("digest"))
+    fetched = wanted.join(shared.hint("merge"), "digest").select("payload", "digest", "bytes")
+    stored = own.unionByName(fetched).groupBy("payload").agg(F.collect_list(F.struct("digest", "bytes")).alias("stored"))
+    # left: a payload whose chunks are missing fails instead of vanishing
+    whole = payloads.join(stored.hint("merge"), "payload", "left").select("payload", "chunks", F.coalesce("stored", F.array()).alias("stored"))
+    by_key = whole.mapInArrow(_reconstruct, f"payload binary, {FEATURES}")
+    return lists.select("doc_id", "n_bytes", "payload").join(by_key.hint("merge"), "payload").drop("payload")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Chunk, store, read back and verify every document; one row each: doc_id, n_bytes and FEATURES."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bitmap = shared_bitmap(docs)
-    alone = docs.mapInArrow(_Pass("alone", bitmap), f"doc_id long, n_bytes long, {FEATURES}")
-    places = docs.mapInArrow(_Pass("places", bitmap), "payload binary, place int, digest binary, bytes binary")
-    places = places.groupBy("payload", "place").agg(F.first("digest").alias("digest"), F.first("bytes").alias("own"))
-    read = places.filter("own is not null").select("payload", "place", "digest", F.col("own").alias("bytes"))
-    fetched = places.filter("own is null").select("payload", "place", "digest").join(chunk_store(docs, bitmap), "digest")
-    whole = read.unionByName(fetched.select("payload", "place", "digest", "bytes")).groupBy("payload").agg(F.collect_list(F.struct("place", "digest", "bytes")).alias("chunks"))
-    by_key = whole.mapInArrow(_reconstruct, f"payload binary, {FEATURES}")
-    keys = docs.mapInArrow(_Pass("keys", bitmap), "doc_id long, n_bytes long, payload binary")
-    return alone.unionByName(keys.join(by_key, "payload").drop("payload"))
+    lists = chunk_lists(docs)
+    return read_back(lists, *chunk_store(docs, shared_bitmap(lists)))
 
 
 def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,22 @@ def test_media(spark, odd):
     assert media.media_features(empty(odd)).count() == 0
 
 
+def test_media_is_read_from_the_store(spark, odd):
+    rng = random.Random(4)
+    texts = [" ".join(f"m{rng.randrange(10**6)}" for _ in range(900)) for _ in range(4)]
+    texts += [texts[0], texts[1] + texts[2], "short", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = media.chunk_lists(docs)
+    own, shared = media.chunk_store(docs, media.shared_bitmap(lists))
+    stored = [r.digest for df in (own, shared) for r in df.select("digest").collect()]
+    assert sorted(stored) == sorted({name for t in texts for name, _ in media.chunks_of(media.payload_of(t)[1])})
+    assert media.read_back(lists, own, shared).count() == len(texts)
+    lone = media.digest(media.payload_of("short")[1])
+    for broken in (own.filter(F.col("payload") != lone), own.withColumn("bytes", F.when(F.col("payload") == lone, F.lit(zlib.compress(b"other"))).otherwise(F.col("bytes")))):
+        with pytest.raises(Exception, match="digest|KeyError"):
+            media.read_back(lists, broken, shared).collect()
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DIR).toPandas()
     kept = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
