@@ -8,8 +8,8 @@ count. The weights are summed over distinct hits and over all hits, the latter p
 gives the score.
 
 The entries, their weights, the learned exceptions and the logistic function come from labelled documents: at most
-SAMPLE_ROWS of them, the first in the order of a hash of doc_id (documents' crc32 decides which labels may be used). Near
-copies count once: a document's family is the least hash of its words. An entry's weight is its log odds between toxic
+SAMPLE_ROWS of them, the first in the order of a hash of doc_id (documents' crc32 decides which labels may be used). Copies
+count once: a document's family are those with equal folded words in equal order. An entry's weight is its log odds between toxic
 and other families. The lexicon has at most LEXICON_ROWS entries.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; repeated rows give equal rows;
@@ -86,9 +86,9 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = set(fold(text or ""))
+            words = fold(text or "")
             if words:
-                rows.append((min(f"{xxhash.xxh64_intdigest(w):016x}" for w in words), toxic, text))
+                rows.append((xxhash.xxh3_128_hexdigest(" ".join(words)), toxic, text))
         yield batch_of(rows, schema)
 
 

@@ -109,6 +109,15 @@ def test_toxicity(spark, odd):
     assert toxicity.drop_toxic(odd, none, 0.5).count() == odd.count()
 
 
+def test_toxicity_learns_from_documents_that_share_a_word(spark):
+    rows = [(i, f"aaa {'zorgle' if i % 2 else 'lamp'} " + " ".join(f"bbb{i}x{j}" for j in range(3)), i % 2) for i in range(80)]
+    common = min((f"c{i}" for i in range(20_000)), key=lambda w: toxicity.xxhash.xxh64_intdigest(w))
+    docs = spark.createDataFrame([(i, f"{common} {t}") for i, t, _ in rows] + [(100 + i, f"{common.upper()}, unusual!") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(100 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    weights = toxicity.learn(docs, labels).weights
+    assert " zorgle " in weights and " unusual " not in weights and f" {common} " not in weights
+
+
 def test_licenses(spark, odd):
     texts = ["Use the MIT-License or MIT license; GNU General Public License, version 3", "mit license", "Licensed under the Apache License, Version 2.0.", "Кmit license Kapache license", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
