@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text becomes words: A-Z as a-z, everything else in ASCII but a-z and 0-9 separates. Rules are regular expressions over the
-words joined by one space; each has a label, a keyword and a priority. Only texts in which some hint of a licence stands are
-split, and of the rules only those whose keyword stands in the text are run. Every match is an interval of words. A match
+words joined by one space; each has a label, a keyword and a priority. Every text is
+split, and of the rules only those whose keyword stands in the words are run. Every match is an interval of words. A match
 that lies inside another one of at least its priority (or of the same words, by an earlier rule) is suppressed; the labels
 of the matches that are left are the text's labels. Everything happens inside one row, without a shuffle.
 
@@ -115,8 +115,6 @@ NOTICES = (
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
 )
 
-#: A text without any of these holds no rule's keyword worth a look.
-HINT = r"(?i)licen|copyright|public domain|spdx|rights reserved|proprietary|redistribution|hereby granted|wtfpl|gplv|\bcc0\b"
 _WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -161,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
     matches that are left, with rule number, label, priority, first and last word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     table_of = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(f"{k}").alias("keyword"), F.lit(_anchored(e)).alias("expr"), F.lit(p).alias("priority")) for i, (a, k, e, p) in enumerate(rules())))
-    base = docs.select("doc_id", F.regexp_count(text, F.lit(_WORDS)).cast("long").alias("n_words"), F.when(text.rlike(HINT), words_column(text)).alias("words"))
+    base = docs.select("doc_id", F.regexp_count(text, F.lit(_WORDS)).cast("long").alias("n_words"), words_column(text).alias("words"))
     places = {label: F.when(F.col("words").contains(phrase), _starts(F.col("words"), F.lit(_anchored(phrase)))) for phrase, label in BASE.items()}
     none = F.array().cast("array<long>")
     base = base.withColumns({f"at_{label}": F.coalesce(x, none) for label, x in places.items()})

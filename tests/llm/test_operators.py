@@ -129,6 +129,13 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty(odd)).count() == 0
 
 
+def test_licenses_without_the_word_licence(spark):
+    want = {"Apache-2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "GPL-3.0": "gpl-3.0", "LGPL-2.1": "lgpl-2.1", "EPL-2.0": "epl-2.0", "BSD-3-Clause": "bsd-3-clause", "0BSD": "0bsd", "CC BY-SA 4.0": "cc-by-sa-4.0",
+            "published by the Free Software\nFoundation": "gpl", "All rights\nreserved": "proprietary", "public-domain": "public-domain", "nothing here": ""}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(df).orderBy("doc_id").collect()] == list(want.values())
+
+
 def test_pieces(spark, odd):
     import sentencepiece
 
