@@ -68,6 +68,14 @@ def _clean() -> None:
             pass
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut smaller, so that few rows are Python objects at a time."""
     for batch in batches:

@@ -13,13 +13,13 @@ def _lowest(edges: DataFrame, key: str, other: str) -> DataFrame:
     return edges.groupBy(key).agg(F.least(F.min(other), F.col(key)).alias("low"))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and component (the least node reachable) of every node in the links (a, b: long). Large-star and small-star
     steps by turns: every step hooks nodes to the least node known around them, until nothing changes. Each step is two
     aggregations with partial sums and two joins, so a node with very many links is no single task's work."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_lowest(both, "u", "v"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v").distinct()
         low = _lowest(large, "u", "v")
@@ -31,8 +31,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (r.n, r.h) == state:
             break
         state = (r.n, r.h)
-    else:
-        raise RuntimeError("components didn't settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = cut(nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()))
     drop_cut(edges)

@@ -2,20 +2,26 @@
 
 A document's set holds its distinct shingles of K words. Under each of PERMUTATIONS hash functions both the least and the
 largest value over the set are kept, so one evaluation gives two signature values. Bands of ROWS least (or largest) values
-make bucket keys. Two sets of similarity 0.8 miss all 32 buckets with probability 5e-8.
-
-1. Documents with equal sets are one class, named by their least doc_id; only that one goes on.
-2. In every bucket all members are paired with one pivot, the least doc_id: as many pairs as members.
-3. Pairs are confirmed on full sets: 100 * shared >= PERCENT * union. Confirmed links give components.
+make bucket keys. Two sets of similarity 0.8 miss all 32 buckets with probability 5e-8. One byte of each signature value
+(128 in all) estimates the similarity of two sets: at 0.8, fewer than LEAST_MATCHES bytes agree with probability 3e-8.
+
+1. Documents with equal sets are one class (a node); one row of each goes on.
+2. In every bucket all nodes are paired with one pivot: as many pairs as members. Pairs whose sizes or signature bytes
+   can't go with the similarity go no further.
+3. Pairs are confirmed on full sets: 100 * shared >= PERCENT * union. Both sets of a pair come to a task by the pair's
+   first node; a node with many pairs is dealt to several tasks, each of which reads its set once. Confirmed links give
+   components.
 4. A bucket whose members are still in several components may hide links between members other than the pivot. There,
-   every member outside the pivot's component is compared with all members of other components. Both sides are dealt into
-   blocks of BLOCK_SHINGLES shingles, so a task holds two blocks at a time and only links leave it. If these comparisons
-   would be too many, more pivots go first, each against its whole bucket, which joins components; no pair is given up.
+   every member outside the pivot's component is compared with all other members but the pivot, by signature bytes, in
+   blocks of BLOCK_ROWS: a task holds two blocks of bytes at a time, and only pairs that may be links leave it, to be
+   confirmed as above. No pair is given up. The work of this step grows with the square of a bucket's members that aren't
+   linked with its pivot, at some 128 bytes a comparison.
 
 Defined results: words are split at ASCII white space, A-Z count as a-z; a text with fewer than K words has its whole
 sequence as one shingle; null, empty and blank texts have empty sets and link with nothing; repeated rows are copies of
-each other; rows with a null doc_id are not linked (component null, kept true); an empty table gives no rows; extra
-columns are ignored.
+each other; rows with one doc_id and different texts are nodes of their own (a row is named by doc_id and a hash of its
+text); rows with a null doc_id are not linked (component null, kept true); texts are taken whole, whatever their length; an
+empty table gives no rows; extra columns, of any name, are ignored by classes() and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -28,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, cut, drop_cut, mixed, slices, table
+from .common import WordHashes, batch_of, bit_words, cut, drop_cut, fresh_name, has_bit, mixed, slices, table
 from .graph import components
 
 PERMUTATIONS, ROWS, PERCENT = 64, 4, 80
-#: Comparisons per document and band up to which step 4 makes them all at once, and shingles of a block.
-PAIRS_PER_ROW, BLOCK_SHINGLES = 32, 1 << 15
+#: Signature bytes of 2 * PERMUTATIONS that agree in a pair which is confirmed.
+LEAST_MATCHES = 72
+#: Rows of a block of step 4, and pairs of one node that a task confirms.
+BLOCK_ROWS, DEALT_PAIRS = 2048, 512
+#: Bits of the filter that tells which texts' sets are needed: so many a node, up to a bound; beyond it, more sets pass.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 _RNG = np.random.Generator(np.random.PCG64(41))
 _FACTORS = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,167 +64,198 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """Bucket keys of a set: bands of least values, then bands of largest values."""
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Bucket keys of a set (bands of least values, then bands of largest values), and a byte of each value."""
     low, high = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
     for lo in range(0, len(shingles), 8192):
         values = shingles[lo : lo + 8192, None] * _FACTORS
         np.minimum(low, values.min(axis=0), out=low)
         np.maximum(high, values.max(axis=0), out=high)
-    values = np.concatenate([low, high]).reshape(BANDS, ROWS)
-    return mixed((values * _PLACES[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    values = np.concatenate([low, high])
+    keys = (values.reshape(BANDS, ROWS) * _PLACES[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)
+    return mixed(keys).view(np.int64), mixed(values).astype(np.uint8).tobytes()
+
+
+def _set_of(hashes: WordHashes, text: str | None, k: int) -> np.ndarray:
+    return shingle_set(hashes.of((text or "").encode().lower().split()), k)
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _sketches(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = shingle_set(hashes.of((text or "").encode().lower().split()), k)
-                if len(own):
-                    rows.append((doc_id, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), band_keys(own)))
-                else:
-                    rows.append((doc_id, 0, None, None))
+            for doc_id, t, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "text")), strict=True):
+                own = _set_of(hashes, text, k)
+                rows.append((doc_id, t, len(own), _digest(own), *signature(own)) if len(own) else (doc_id, t, 0, None, None, None))
             yield batch_of(rows, schema)
 
     return sketch
 
 
-def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+class _Sets:
+    """The sets of the texts whose bit is in the filter, named by their digests."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, k: int, bits: np.ndarray) -> None:
+        self.k, self.bits = k, bits
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
         hashes = WordHashes()
         for batch in slices(batches):
-            yield batch_of([(d, shingle_set(hashes.of((t or "").encode().lower().split()), k).view(np.int64)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)], schema)
+            batch = batch.filter(pa.array(has_bit(self.bits, batch.column("bit").to_numpy().view(np.uint64))))
+            sets = [_set_of(hashes, text, self.k) for text in batch.column("text").to_pylist()]
+            yield batch_of([(_digest(own), own.view(np.int64)) for own in sets if len(own)], schema)
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, matches: np.ndarray) -> np.ndarray:
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (matches >= LEAST_MATCHES)
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Rows of signature bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * PERMUTATIONS)
 
-    return sets
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and signature bytes allow a link."""
+    for batch in slices(batches, 4096):
+        matches = (_bytes_of(batch.column("x")) == _bytes_of(batch.column("y"))).sum(axis=1)
+        yield batch.filter(pa.array(_may_link(batch.column("n").to_numpy(), batch.column("m").to_numpy(), matches))).select(["a", "b"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among pairs that come in order: the set of a first node, then the sets of its others."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    first = None
     for batch in slices(batches):
         rows = []
-        x, y = batch.column("x"), batch.column("y")
+        sets = batch.column("shingles")
         for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-            p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * shared >= PERCENT * (len(p) + len(q) - shared):
+            own = sets[i].values.to_numpy()
+            if b is None:
+                first = own.copy()
+                continue
+            shared = len(np.intersect1d(first, own, assume_unique=True))
+            if 100 * shared >= PERCENT * (len(first) + len(own) - shared):
                 rows.append((a, b))
         yield batch_of(rows, schema)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
-
-
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs of bucket members (key, doc_id, n, component) in different components whose sizes allow the
-    similarity."""
-    b = right.select("key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"))
-    fit = f"doc_id != other and component != other_component and 100 * least(n, m) >= {PERCENT} * greatest(n, m)"
-    return left.join(b, "key").filter(fit).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of nodes whose full sets are similar enough."""
+    pairs = cut(pairs)
+    many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / DEALT_PAIRS).alias("parts"))
+    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
+    named = nodes.select("node", "digest")
+    wanted = dealt.select("a", "part", F.col("b"), F.col("b").alias("node")).unionByName(dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct())
+    rows = wanted.join(named, "node").join(sets, "digest").select("a", "part", "b", "shingles")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").select("a", "b", "shingles").mapInArrow(_confirmed, "a long, b long")
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the members of two blocks (lists of doc_id, component, shingles)."""
+def _across_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components between two blocks (lists of node, component, n, sig) that may be links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in slices(batches, 1):
         left, right = (batch.column(c)[0].values for c in ("left", "right"))
-        ids, comps, values = (right.field(i) for i in range(3))
-        ids, comps = ids.to_numpy(), comps.to_numpy()
-        ends = values.offsets.to_numpy()
-        flat = values.values.to_numpy()[ends[0] : ends[-1]]
-        sizes = np.diff(ends)
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+        ids, comps, sizes = (right.field(i).to_numpy() for i in range(3))
+        sigs = _bytes_of(right.field(3))
         rows = []
-        for doc_id, comp, own in zip(left.field(0).to_pylist(), left.field(1).to_pylist(), left.field(2), strict=True):
-            own = own.values.to_numpy()
-            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], minlength=len(ids))
-            near = (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (comps != comp)
-            rows += [(min(doc_id, x), max(doc_id, x)) for x in ids[near].tolist()]
+        for node, comp, n, sig in zip(*(left.field(i).to_pylist() for i in range(4)), strict=True):
+            other = np.flatnonzero((comps != comp) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
+            if len(other):
+                near = other[_may_link(sizes[other], np.int64(n), (sigs[other] == np.frombuffer(sig, np.uint8)).sum(axis=1))]
+                rows += [(min(node, x), max(node, x)) for x in ids[near].tolist()]
         yield batch_of(rows, schema)
 
 
-def _across(rest: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the rest and all members of their buckets in other components, block against block."""
-    keys = rest.groupBy("key").agg(F.sum("n").alias("rest_n"))
-    sizes = members.join(keys, "key").groupBy("key", "rest_n").agg(F.sum("n").alias("all_n"))
+def _across(rest: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (of the rest, and of the members of their buckets in other components) that may be links."""
+    left_n = rest.groupBy("key").agg(F.count("*").alias("left_n"))
+    sizes = members.join(left_n, "key").groupBy("key", "left_n").agg(F.count("*").alias("right_n"))
 
     def blocks(rows: DataFrame, total: str, name: str) -> DataFrame:
-        n = F.ceil(F.col(total) / BLOCK_SHINGLES)
-        dealt = rows.select("key", "doc_id", "component").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), n)).join(sets, "doc_id")
-        return dealt.groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias(name)).drop("block")
+        dealt = rows.select("key", "node", "component").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col(total) / BLOCK_ROWS)))
+        return dealt.join(nodes, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "sig")).alias(name)).drop("block")
 
-    both = blocks(rest, "rest_n", "left").join(blocks(members, "all_n", "right"), "key")
-    return both.select("left", "right").mapInArrow(_block_links, "a long, b long").distinct()
+    both = blocks(rest, "left_n", "left").join(blocks(members, "right_n", "right"), "key")
+    return both.select("left", "right").mapInArrow(_across_blocks, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = cut(rows.mapInArrow(_sketches(k), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+def _classes(docs: DataFrame, k: int) -> DataFrame:
+    """Every row's doc_id, t (a hash of its text), n_shingles, and lead: doc_id and t of its component's first row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    sketch = cut(rows.mapInArrow(_sketches(k), "doc_id long, t long, n_shingles long, digest binary, bands array<long>, sig binary"))
     filled = sketch.filter("doc_id is not null and n_shingles > 0")
-    equal = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    reps = filled.select("doc_id", "digest", F.col("n_shingles").alias("n"), "bands").join(equal, ["doc_id", "digest"])
-    members = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    # numbers of their own, as several nodes may have one least doc_id; they are written, so they hold from here on
+    same = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("lead"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    equal = cut(same.withColumn("node", F.monotonically_increasing_id()))
+    members = equal.select("node", F.explode("bands").alias("key"))
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     buckets = cut(members.join(pivots, "key"))
-    involved = buckets.select("doc_id").distinct()
-    sets = cut(rows.filter("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, shingles array<long>"))
-
-    own = buckets.withColumn("component", F.col("doc_id"))
-    first = own.filter("doc_id = pivot")
-    links = cut(confirm(_pairs(first, own), sets))
-    total, spent, last = max(equal.count(), 1000), None, False
-    while True:
-        found = components(links)
-        if last:
-            break
-        now = cut(buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        at_pivot = now.filter("doc_id = pivot").select("key", F.col("component").alias("pivot_component"))
-        rest = now.join(at_pivot, "key").filter("component != pivot_component").drop("pivot_component")
-        rest = cut(rest.join(spent, ["key", "doc_id"], "left_anti") if spent is not None else rest)
-        left = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        if not left:
-            break
-        last = left <= PAIRS_PER_ROW * BANDS * total
-        if last:
-            more = _across(rest, now, sets)
-        else:
-            going = rest.join(rest.groupBy("key").agg(F.min("doc_id").alias("doc_id")), ["key", "doc_id"])
-            more = confirm(_pairs(going, now), sets)
-            done = going.select("key", "doc_id")
-            spent = cut(done if spent is None else spent.unionByName(done))
-        new = cut(links.unionByName(more))
-        drop_cut(links)
-        links = new
-    named = equal.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    nodes = cut(equal.select("node", "n", "digest", "sig", "lead").join(buckets.select("node").distinct(), "node"))
+
+    x, y = nodes.select(F.col("node").alias("a"), "n", F.col("sig").alias("x")), nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sig").alias("y"))
+    pairs = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    alike = pairs.join(x, "a").join(y, "b").mapInArrow(_alike, "a long, b long")
+    n_bits = 1 << min(MOST_FILTER_BITS.bit_length() - 1, max(10, (FILTER_BITS * nodes.count()).bit_length()))
+    bit = lambda doc_id, t: F.pmod(F.xxhash64(doc_id, t), F.lit(n_bits))
+    wanted = rows.filter("doc_id is not null").select("text", bit("doc_id", "t").alias("bit"))
+    bits = bit_words(nodes, [bit("lead.doc_id", "lead.t")], n_bits)
+    made = cut(wanted.mapInArrow(_Sets(k, bits), "digest binary, shingles array<long>"))
+    # equal texts under one filter bit come more than once
+    sets = made if made.count() == made.select("digest").distinct().count() else made.dropDuplicates(["digest"])
+    links = cut(confirm(alike, nodes, sets))
+
+    found = components(links)
+    now = buckets.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = cut(now)
+    at_pivot = now.filter("node = pivot").select("key", F.col("component").alias("pivot_component"))
+    others = now.filter("node != pivot")
+    rest = cut(others.join(at_pivot, "key").filter("component != pivot_component").drop("pivot_component"))
+    if not rest.isEmpty():
+        more = cut(confirm(_across(rest, others, nodes.select("node", "n", "sig")), nodes, sets))
+        if not more.isEmpty():
+            drop_cut(found)
+            found = components(links.unionByName(more))
+        drop_cut(more)
+    for done in (buckets, made, links, now, rest):
+        drop_cut(done)
+    linked = nodes.select("node", "digest", "lead").join(found, "node")
+    leads = linked.groupBy("component").agg(F.min("lead").alias("first"))
+    named = linked.join(leads, "component").select("digest", "first")
+    out = sketch.select("doc_id", "t", "n_shingles", "digest").join(equal.select("digest", "lead"), "digest", "left").join(named, "digest", "left")
+    out = cut(out.select("doc_id", "t", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "lead", F.struct("doc_id", "t"))).alias("lead")))
+    for done in (sketch, equal, nodes, found):
+        drop_cut(done)
+    return out
+
+
+def classes(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    out = _classes(docs, k).select("doc_id", "n_shingles", F.col("lead.doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The documents without the later ones of each near-duplicate group, all columns as they are. Of repeated rows with
-    one doc_id, one stays."""
-    found = cut(classes(docs, k).select("doc_id", "kept"))
-    ids = found.filter("doc_id is not null")
-    stay = docs.join(ids.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if ids.count() != ids.select("doc_id").distinct().count():
-        stay = stay.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id is null"))
-    return stay
+    """The documents without the later ones of each near-duplicate group, all columns as they are. Of repeated rows (doc_id
+    and text) one stays, as long as the doc_id isn't null."""
+    found = _classes(docs, k).filter("doc_id is not null")
+    d, t = fresh_name(docs, "d"), fresh_name(docs, "t")
+    out = cut(found.filter("lead.doc_id != doc_id or lead.t != t").select(F.col("doc_id").alias(d), F.col("t").alias(t)).distinct())
+    keyed = docs.withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64("text")})
+    stay = keyed.join(out, [d, t], "left_anti")
+    repeated = not found.groupBy("doc_id", "t").count().filter("count > 1").isEmpty()
+    drop_cut(found)
+    if repeated:
+        stay = stay.filter(F.col(d).isNotNull()).dropDuplicates([d, t]).unionByName(stay.filter(F.col(d).isNull()))
+    return stay.select(*docs.columns)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
