@@ -26,20 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a new one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a new local one, if the driver
+    is the only machine; else an error, as executors couldn't see it."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it again: later stages no longer depend on the executors that made
     it. The table is dropped by drop_cut() or at the end of the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

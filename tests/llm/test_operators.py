@@ -255,15 +255,43 @@ def test_media_is_read_from_the_store(spark, odd):
     texts = [" ".join(f"m{rng.randrange(10**6)}" for _ in range(900)) for _ in range(4)]
     texts += [texts[0], texts[1] + texts[2], "short", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    lists = media.chunk_lists(docs)
-    own, shared = media.chunk_store(docs, media.shared_bitmap(lists))
-    stored = [r.digest for df in (own, shared) for r in df.select("digest").collect()]
+    rows, shared = media.chunk_store(docs)
+    stored = [r.digest for df in (rows.select(F.explode("own.digest").alias("digest")), shared.select("digest")) for r in df.collect()]
     assert sorted(stored) == sorted({name for t in texts for name, _ in media.chunks_of(media.payload_of(t)[1])})
-    assert media.read_back(lists, own, shared).count() == len(texts)
+    got = {r.doc_id: r for r in media.read_back(rows, shared).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):  # the contract's columns, and this store's form, in plain steps
+        data = (text or "").encode()
+        data += b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        ends = media.cuts(data)
+        parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+        form = b"".join(hashlib.blake2b(p, digest_size=16).digest() + len(p).to_bytes(4, "big") for p in parts) + data
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].media_bytes) == (len((text or "").encode()), len(data), len(form))
+        assert (got[i].payload_sha256, got[i].media_sha256, got[i].tail_crc32) == (hashlib.sha256(data).hexdigest(), hashlib.sha256(form).hexdigest(), zlib.crc32(data[-32:]))
+        assert got[i].feature.startswith(f"chunks={len(parts)};longest={max(map(len, parts))};mean={sum(data) / len(data):.6f};")
+    assert got[0].feature == got[4].feature and rows.filter("not whole").count() >= 5
     lone = media.digest(media.payload_of("short")[1])
-    for broken in (own.filter(F.col("payload") != lone), own.withColumn("bytes", F.when(F.col("payload") == lone, F.lit(zlib.compress(b"other"))).otherwise(F.col("bytes")))):
+    for broken in (rows.withColumn("own", F.when(F.col("payload") == lone, F.array().cast(rows.schema["own"].dataType)).otherwise(F.col("own"))),
+                   rows.withColumn("own", F.transform("own", lambda c: c.withField("bytes", F.when(F.col("payload") == lone, F.lit(b"other")).otherwise(c["bytes"]))))):
         with pytest.raises(Exception, match="digest|KeyError"):
-            media.read_back(lists, broken, shared).collect()
+            media.read_back(broken, shared).collect()
+    with pytest.raises(Exception, match="KeyError"):
+        media.read_back(rows, shared.limit(0)).collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 16_384, 40_000])
+def test_chunk_ends_against_plain_steps(n):
+    data = random.Random(n).randbytes(n)
+    ends, at = [], 0
+    while at < n:
+        h = 0
+        for i in range(at, min(at + media.MOST, n)):
+            h = sum(int(media.GEAR[data[j]]) << (i - j) for j in range(max(0, i - 31), i + 1)) & 0xFFFFFFFF if i - at >= media.LEAST - 1 else 0
+            if i - at >= media.LEAST - 1 and h >> (32 - media.MASK_BITS) == 0 and n - at > media.LEAST:
+                break
+        at = i + 1
+        ends.append(at)
+    assert media.cuts(data) == ends
 
 
 def test_pipeline(spark):
