@@ -12,10 +12,10 @@ make bucket keys. Two sets of similarity 0.8 miss all 32 buckets with probabilit
    first node; a node with many pairs is dealt to several tasks, each of which reads its set once. Confirmed links give
    components.
 4. A bucket whose members are still in several components may hide links between members other than the pivot. There,
-   every member outside the pivot's component is compared with all other members but the pivot, by signature bytes, in
-   blocks of BLOCK_ROWS: a task holds two blocks of bytes at a time, and only pairs that may be links leave it, to be
-   confirmed as above. No pair is given up. The work of this step grows with the square of a bucket's members that aren't
-   linked with its pivot, at some 128 bytes a comparison.
+   all members but the pivot are compared on full sets, if they are in different components: sets are dealt into blocks of
+   about BLOCK_SHINGLES shingles, a task holds two blocks at a time, and only links that join what isn't joined yet leave
+   it. No pair is given up. The work of this step grows with the square of a bucket's members that aren't linked with its
+   pivot, and its rows with their number times their blocks.
 
 Defined results: words are split at ASCII white space, A-Z count as a-z; a text with fewer than K words has its whole
 sequence as one shingle; null, empty and blank texts have empty sets and link with nothing; repeated rows are copies of
@@ -40,8 +40,8 @@ from .graph import components
 PERMUTATIONS, ROWS, PERCENT = 64, 4, 80
 #: Signature bytes of 2 * PERMUTATIONS that agree in a pair which is confirmed.
 LEAST_MATCHES = 72
-#: Rows of a block of step 4, and pairs of one node that a task confirms.
-BLOCK_ROWS, DEALT_PAIRS = 2048, 512
+#: Shingles of a block of step 4, and pairs of one node that a task confirms.
+BLOCK_SHINGLES, DEALT_PAIRS = 1 << 19, 512
 #: Bits of the filter that tells which texts' sets are needed: so many a node, up to a bound; beyond it, more sets pass.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
@@ -159,33 +159,66 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").select("a", "b", "shingles").mapInArrow(_confirmed, "a long, b long")
 
 
-def _across_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components between two blocks (lists of node, component, n, sig) that may be links."""
+def unit_links(nodes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of some sets: those between side 0 and side 1, or all if there is one side. comps
+    changes with the links found."""
+    sizes = np.array([len(x) for x in sets])
+    one = not sides.any()
+    right = np.arange(len(nodes)) if one else np.flatnonzero(sides)
+    flat, owner = np.concatenate([sets[i] for i in right]), np.repeat(right, sizes[right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for i in np.flatnonzero(sides == 0).tolist():
+        fits = (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+        if one:
+            fits[:i] = False
+        else:
+            fits &= sides == 1
+        if not fits.any():
+            continue
+        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(nodes))
+        for j in np.flatnonzero(fits & (100 * shared >= PERCENT * (sizes + sizes[i] - shared))).tolist():
+            if comps[j] != comps[i]:
+                out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+                comps[comps == comps[j]] = comps[i]
+    return out
+
+
+def _across_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within units of work, whose rows (key, lo, hi, side, node, component, shingles) come one after another."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in slices(batches, 1):
-        left, right = (batch.column(c)[0].values for c in ("left", "right"))
-        ids, comps, sizes = (right.field(i).to_numpy() for i in range(3))
-        sigs = _bytes_of(right.field(3))
-        rows = []
-        for node, comp, n, sig in zip(*(left.field(i).to_pylist() for i in range(4)), strict=True):
-            other = np.flatnonzero((comps != comp) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
-            if len(other):
-                near = other[_may_link(sizes[other], np.int64(n), (sigs[other] == np.frombuffer(sig, np.uint8)).sum(axis=1))]
-                rows += [(min(node, x), max(node, x)) for x in ids[near].tolist()]
-        yield batch_of(rows, schema)
+    unit, held = None, []
 
+    def close() -> list[tuple[int, int]]:
+        if len({c for _, c, _, _ in held}) < 2:
+            return []
+        return unit_links(*(np.array([h[i] for h in held]) for i in range(3)), [h[3] for h in held])
 
-def _across(rest: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (of the rest, and of the members of their buckets in other components) that may be links."""
-    left_n = rest.groupBy("key").agg(F.count("*").alias("left_n"))
-    sizes = members.join(left_n, "key").groupBy("key", "left_n").agg(F.count("*").alias("right_n"))
+    for batch in slices(batches):
+        rows = []
+        sets = batch.column("shingles")
+        for i, (*mine, node, comp, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "component", "side")), strict=True)):
+            if mine != unit:
+                rows += close()
+                unit, held = mine, []
+            held.append((node, comp, side, sets[i].values.to_numpy().copy()))
+        yield batch_of(rows, schema)
+    yield batch_of(close(), schema)
 
-    def blocks(rows: DataFrame, total: str, name: str) -> DataFrame:
-        dealt = rows.select("key", "node", "component").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col(total) / BLOCK_ROWS)))
-        return dealt.join(nodes, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "sig")).alias(name)).drop("block")
 
-    both = blocks(rest, "left_n", "left").join(blocks(members, "right_n", "right"), "key")
-    return both.select("left", "right").mapInArrow(_across_blocks, "a long, b long").distinct()
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members (key, node, component) of one bucket in different components."""
+    sized = members.join(nodes.select("node", "n", "digest"), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "digest")
+    rows = units.join(sets, "digest").select("key", "lo", "hi", "side", "node", "component", "shingles")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across_units, "a long, b long")
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
@@ -218,9 +251,9 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     now = cut(now)
     at_pivot = now.filter("node = pivot").select("key", F.col("component").alias("pivot_component"))
     others = now.filter("node != pivot")
-    rest = cut(others.join(at_pivot, "key").filter("component != pivot_component").drop("pivot_component"))
+    rest = cut(others.join(at_pivot, "key").filter("component != pivot_component").select("key").distinct())
     if not rest.isEmpty():
-        more = cut(confirm(_across(rest, others, nodes.select("node", "n", "sig")), nodes, sets))
+        more = cut(_across(others.join(rest, "key").select("key", "node", "component"), nodes, sets))
         if not more.isEmpty():
             drop_cut(found)
             found = components(links.unionByName(more))

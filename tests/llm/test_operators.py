@@ -301,3 +301,32 @@ def test_pipeline(spark):
     items = {i: " ".join(re.findall(r"[^\W_]+", t.lower())) for i, t in duckdb.sql(f"select item_id, text from '{DIR}/benchmark.parquet'").fetchall()}
     leaked = {d for d, t in kept.items() if any(x in " ".join(re.findall(r"[^\W_]+", t.lower())) for x in items.values())}
     assert not leaked & set(out.doc_id)
+
+
+def test_unit_links_join_as_all_pairs_do():
+    import numpy as np
+
+    rng = random.Random(3)
+    for two in (False, True):
+        base = rng.sample(range(10**6), 60)
+        sets = [np.array(sorted({x if rng.random() > 0.08 else rng.randrange(10**6) for x in base} | set(rng.sample(range(10**6), rng.randrange(4))))) for _ in range(40)]
+        sides = np.array([two * (i % 2) for i in range(40)])
+        links = neardup.unit_links(np.arange(40), np.arange(40), sides, sets)
+        like = [(i, j) for i in range(40) for j in range(i) if (not two or (i + j) % 2) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+        def parts(pairs):
+            low = list(range(40))
+            for _ in range(40):
+                for i, j in pairs:
+                    low[i] = low[j] = min(low[i], low[j])
+            return low
+
+        assert parts(links) == parts(like) and len(links) == len({*range(40)}) - len(set(parts(like)))
+
+
+def test_neardup_of_rows_with_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b + " x"), (2, b), (None, a), (4, None), (4, None), (5, a.upper())], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.classes(docs, 2).collect() if r.doc_id is not None)
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (5, 1, False)]
+    assert sorted(((r.doc_id or 0, r.text or "") for r in neardup.keep_one(docs, 2).collect())) == sorted([(1, a), (2, b), (0, a), (4, "")])
