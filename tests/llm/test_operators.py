@@ -330,3 +330,28 @@ def test_neardup_of_rows_with_one_id(spark):
     got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.classes(docs, 2).collect() if r.doc_id is not None)
     assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (5, 1, False)]
     assert sorted(((r.doc_id or 0, r.text or "") for r in neardup.keep_one(docs, 2).collect())) == sorted([(1, a), (2, b), (0, a), (4, "")])
+
+
+def test_passage_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"h{rng.randrange(10**6)}" for _ in range(n)]
+    p = fresh(70)
+    texts = [fresh(30) + part + fresh(30) for part in (p[:27], p[22:49], p[44:])] + [fresh(30) + p + fresh(30), fresh(12) + p, fresh(40)]
+    docs = spark.createDataFrame([(i, " ".join(w), 1, "z") for i, w in enumerate(texts)] + [(4, " ".join(texts[5]), 1, "z"), (None, " ".join(p), 1, "z")], "doc_id long, text string, k int, d string")
+    got = [(r.doc_id, r.src_doc_id, r.first_word, r.n_words) for r in passages.repeated_passages(docs).collect()]
+    assert (4, 3, 12, 70) in got and all(r[0] == 4 or r[3] < 70 for r in got)
+    left = {(r.doc_id, r.text) for r in passages.drop_passages(docs).collect()}
+    assert passages.drop_passages(docs).columns == docs.columns and len(left) == len(texts) + 2
+    assert (4, " ".join(texts[4][:12]) + " ") in left and (3, " ".join(texts[3])) in left and (None, " ".join(p)) in left and (4, " ".join(texts[5])) in left
+
+
+def test_recall_of_passages_with_replaced_words(spark):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(20_000)}"
+    rows = []
+    for _ in range(120):
+        p = [word() for _ in range(60)]
+        for q in (p, [w if rng.random() > 0.1 else word() for w in p]):
+            rows.append((len(rows), " ".join([word() for _ in range(rng.randrange(200))] + q + [word() for _ in range(40)])))
+    got = {(r.doc_id, r.src_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((i + 1, i) in got for i in range(0, len(rows), 2)) >= 0.88 * len(rows) / 2 and all(a == b + 1 for a, b in got)
