@@ -355,3 +355,17 @@ def test_recall_of_passages_with_replaced_words(spark):
             rows.append((len(rows), " ".join([word() for _ in range(rng.randrange(200))] + q + [word() for _ in range(40)])))
     got = {(r.doc_id, r.src_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum((i + 1, i) in got for i in range(0, len(rows), 2)) >= 0.88 * len(rows) / 2 and all(a == b + 1 for a, b in got)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_widest_chains_against_all_pairs(seed):
+    rng = random.Random(seed)
+    found = []
+    for src in range(40):
+        at = sorted(rng.sample(range(rng.choice([30, 200, 1000])), rng.randrange(2, 9)))
+        found.append((src, at, at))
+    want = []
+    for c in sorted(found, key=lambda c: (-len(c[1]), c[1][0], c[0])):
+        if not any(w[1][0] <= c[1][0] and c[1][-1] <= w[1][-1] for w in want):
+            want.append(c)
+    assert passages.widest(found) == want
