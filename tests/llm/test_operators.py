@@ -144,9 +144,42 @@ def test_pieces(spark, odd):
         assert plain.encode(text, 1) == library.encode(text)
         assert varied.decode(varied.encode(text, 1)) == text or text == ""
     assert varied.decode(varied.encode("a▁b", 1)) == "a▁b"
-    words = ["internationalization", "the", "Wörter", "x1.y2"]
-    assert varied.segment_many(words, 2) == [varied.segment(w, 2) for w in words]
     assert pieces.encode(odd).count() == odd.count() and pieces.encode(empty(odd)).count() == 0
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert {r.doc_id: r.text for r in pieces.decode(pieces.encode(odd.filter("doc_id is not null"))).collect()} == {d: t for d, t in texts.items() if d is not None}
+
+
+def test_pieces_many_at_once_equal_one_by_one():
+    import numpy as np
+
+    rng = random.Random(1)
+    letters = "etaoinshrdlucmfwypvbgkqjxz" * 3 + "ABC 019._-éüßñ日本语"
+    chunks = ["".join(rng.choices(letters, k=rng.choice([1, 2, 4, 6, 8, 12, 38, 39, 40, 41, 42, 90]))) for _ in range(6000)]
+    text = duckdb.sql(f"select string_agg(text, ' ') from (select text from '{DIR}/documents.parquet' order by doc_id limit 60)").fetchall()[0][0]
+    chunks += pieces.Pieces.load().chunks(text)[:6000]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        p = pieces.Pieces.load(dropout=dropout)
+        keys = pieces.chunk_keys(3, np.arange(len(chunks), dtype=np.uint64), np.arange(len(chunks)))
+        assert p.segment_many(chunks, keys) == [p.segment(c, int(k)) for c, k in zip(chunks, keys, strict=True)]
+
+
+def test_pieces_trees_equal_one_by_one(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pieces, "NODES", 9000)
+    rows = duckdb.sql(f"select doc_id, text from '{DIR}/documents.parquet' where text is not null order by doc_id limit 80").fetchall()
+    p = pieces.Pieces.load(dropout=0.1)
+    varied = collections.defaultdict(set)
+    for lo in range(0, len(rows), 16):
+        part = rows[lo : lo + 16]
+        for (d, text), got in zip(part, p.encode_many([t for _, t in part], [d for d, _ in part]), strict=True):
+            mine = p.chunks(" " + text)
+            keys = pieces.chunk_keys(p.seed, np.full(len(mine), d, np.uint64), np.arange(len(mine)))
+            want = [p.segment(c, int(k)) for c, k in zip(mine, keys, strict=True)]
+            assert got.tolist() == [i for x in want for i in x] and p.decode(got.tolist()) == text
+            for c, x in zip(mine, want, strict=True):
+                varied[c].add(tuple(x))
+    assert max(map(len, varied.values())) > 8
 
 
 def test_decontamination(spark, odd):
