@@ -2,14 +2,16 @@
 
 Fixed masks over SPAN neighbouring words ignore some positions, so a seed still hits when words at these positions were
 replaced. Seeds of all benchmark items make a table (hash, item, place). Seeds of the documents are hashed everywhere, but
-only those that pass a Bloom filter of the benchmark's seeds (BLOOM_BITS, whatever the benchmark's size) leave the task,
-together with the words around them. A Spark join on the hash finds the items; then every hit diagonal is verified word by
+only those that pass a Bloom filter of the benchmark's seeds (BITS_PER_SEED bits a seed, up to MOST_BLOOM_BITS; with more
+seeds, more places pass and the findings are the same) leave the task, together with the words around them. A Spark join on the hash finds the items; then every hit diagonal is verified word by
 word: the stretch with the best score (+1 for an equal word, -MISS for another) must cover enough of the item with enough
 equal words. Items shorter than SPAN words are sought as whole phrases.
 
 Defined results: words are runs of letters and digits, lower case; null and empty texts and items have none; items with
-fewer than LEAST_ITEM words are not sought; repeated rows give one finding per doc_id; rows with a null doc_id are found
-under a null doc_id; empty tables give no rows; extra columns are ignored (and kept by drop_contaminated).
+fewer than LEAST_ITEM words are not sought; repeated rows, and rows with one doc_id and other texts, give one finding (the
+best) per doc_id; rows with a null doc_id are found under a null doc_id; of equal stretches the first counts; texts are taken
+whole, whatever their length; empty tables give no rows; extra columns, of any name, are ignored by findings() and kept by
+drop_contaminated(), which judges every row by its own text (named by a 64-bit hash), not by its doc_id.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, bit_words, cut, has_bit, mixed, slices, table
+from .common import WordHashes, batch_of, bit_words, cut, fresh_name, has_bit, mixed, slices, table
 
 # The masks; 1 is a position that counts.
 MASKS = ("110101011", "101110011", "111001101")
 SPAN = 9
-BLOOM_BITS = 1 << 24
+BITS_PER_SEED, LEAST_BLOOM_BITS, MOST_BLOOM_BITS = 32, 1 << 20, 1 << 28
 #: Words around a hit that come along, and the gap that ends a group of hits.
 FLANK, GAP = 40, 24
 MISS = 1.5
@@ -54,12 +56,12 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
-def _bits(hashes):
-    return hashes & np.uint64(BLOOM_BITS - 1), (hashes >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)
+def _bits(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return hashes & np.uint64(n_bits - 1), (hashes >> np.uint64(32)) & np.uint64(n_bits - 1)
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32()), ("span", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+    schema = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32()), ("span", pa.int32())])
     hashes = WordHashes()
     for batch in slices(batches):
         rows = []
@@ -69,8 +71,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for mask in MASKS if len(words) >= SPAN else ("1" * len(words),):
                 got = seeds(words, mask)
-                low, high = _bits(got)
-                rows += [(h, item, i, len(mask), a, b) for i, (h, a, b) in enumerate(zip(got.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True))]
+                rows += [(h, item, i, len(mask)) for i, h in enumerate(got.view(np.int64).tolist())]
         yield batch_of(rows, schema)
 
 
@@ -97,7 +98,7 @@ def _islands(bloom: np.ndarray, spans: list[int]):
             places, found = [], []
             for mask in masks:  # over the whole slice at once; places that reach into the next document go below
                 got = seeds(every, mask)
-                low, high = _bits(got)
+                low, high = _bits(got, 64 * len(bloom))
                 at = np.flatnonzero(has_bit(bloom, low))
                 at = at[has_bit(bloom, high[at])]
                 at = at[np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + len(mask) - 1, "right")]
@@ -149,8 +150,9 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, the best stretch's first word in the document
     (from 0) and words, how many equal the item's, and the item's words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    test = cut(items.mapInArrow(_item_seeds, "hash long, item_id long, place int, span int, low long, high long"))
-    bloom = bit_words(test, [F.col("low"), F.col("high")], BLOOM_BITS)
+    test = cut(items.mapInArrow(_item_seeds, "hash long, item_id long, place int, span int"))
+    n_bits = max(LEAST_BLOOM_BITS, min(MOST_BLOOM_BITS, 1 << (BITS_PER_SEED * test.count()).bit_length()))
+    bloom = bit_words(test, [F.col("hash").bitwiseAND(F.lit(n_bits - 1)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(n_bits - 1))], n_bits)
     spans = sorted(r.span for r in test.filter(F.col("span") < SPAN).select("span").distinct().collect())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = cut(rows.mapInArrow(_islands(bloom, spans), "doc_id long, began int, words array<long>, places array<int>, hashes array<long>"))
@@ -170,9 +172,11 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item is found, all columns as they are."""
-    bad = findings(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents in whose text no item is found, all columns as they are."""
+    h = fresh_name(docs, "h")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    bad = findings(keyed.select(F.col(h).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(h)).distinct()
+    return keyed.join(bad, h, "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,10 +191,23 @@ def test_decontamination(spark, odd):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.findings(docs, items).collect()}
     assert set(got) == {(0, 1), (1, 1), (None, 1), (4, 3)}
     assert (got[0, 1].first_word, got[0, 1].n_words, got[0, 1].n_equal) == (3, 30, 30) and got[1, 1].n_equal == 25
-    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {2, 3}
+    more = docs.unionByName(spark.createDataFrame([(None, "a clean text of a few words"), (0, "another clean text of a few words")], "doc_id long, text string")).withColumns({"_bad": F.lit(1), "h": F.lit(2), "item_id": F.lit(3)})
+    left = decontaminate.drop_contaminated(more, items)
+    assert left.columns == more.columns and sorted((r.doc_id or -1, (r.text or "")[:7]) for r in left.collect()) == sorted([(2, " ".join(item)[:7]), (3, ""), (-1, "a clean"), (-1, "another")])
     assert decontaminate.findings(empty(odd), items).count() == 0 and decontaminate.findings(odd, items.limit(0)).count() == 0
 
 
+def test_recall_of_items_with_replaced_words(spark):
+    rng = random.Random(11)
+    word = lambda: f"k{rng.randrange(20_000)}"
+    items = [[word() for _ in range(40)] for _ in range(150)]
+    rows = [(i, " ".join([word() for _ in range(50)] + [w if rng.random() > 0.15 else word() for w in item] + [word() for _ in range(50)])) for i, item in enumerate(items)]
+    rows += [(1000 + i, " ".join(word() for _ in range(150))) for i in range(50)]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.findings(docs, tests).collect()}
+    assert got <= {(i, i) for i in range(150)} and len(got) >= 0.95 * 150
+
+
 def test_passages(spark, odd):
     rng = random.Random(9)
     fresh = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
