@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, lines, neardup, pieces, toxicity
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, drop_cut, table
 
 #: Score from which a document is rejected.
 TOXIC = 0.5
@@ -37,14 +37,16 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("minhash", dedup_near), ("decontamination", decontaminate_benchmark), ("sentencepiece", encode)]
 
-#: SQL can't express the stages; they are tested against brute force.
+#: SQL can't express the stages; each operator is tested against brute force, and the run for what must and mustn't be left.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            made = cut(made)
+            drop_cut(docs)
+        docs = made
     return docs
