@@ -149,3 +149,20 @@ def op9_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"),
     )
     return read_back(expand(turns.unionByName(probe)))
+
+
+SQL = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select {PROBE_ID}, 0, 'user', '{PROBE_TEXT}' union all select {PROBE_ID}, 1, 'assistant', '{PROBE_TEXT}'),
+r as (
+  select *, row_number() over w as k, count(*) over (partition by conv_id) as n,
+    -- <turn ROLE>, a line break, TEXT</turn> and a line break: 16 characters, and one before each sign that is escaped
+    sum(16 + length(role) + length(text) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + length(regexp_replace(text, '[^\\<]', '', 'g'))) over w as chars
+  from t window w as (partition by conv_id order by turn, role, text rows unbounded preceding))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) filter (where role = 'assistant' or k = n) as bigint) as formatted_chars
+from r group by conv_id
+"""

@@ -29,7 +29,7 @@ from .common import WordHashes, batch_of, bit_words, cut, fresh_name, has_bit, m
 # The masks; 1 is a position that counts.
 MASKS = ("110101011", "101110011", "111001101")
 SPAN = 9
-BITS_PER_SEED, LEAST_BLOOM_BITS, MOST_BLOOM_BITS = 32, 1 << 20, 1 << 28
+BITS_PER_SEED, LEAST_BLOOM_BITS, MOST_BLOOM_BITS = 256, 1 << 20, 1 << 28
 #: Words around a hit that come along, and the gap that ends a group of hits.
 FLANK, GAP = 40, 24
 MISS = 1.5

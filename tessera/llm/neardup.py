@@ -293,3 +293,18 @@ def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), 2)
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as own from w),
+e as (select doc_id, len(own) as n, unnest(own) as x from s),
+links as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id != b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from s union select r.a, l.b from reach r join links l on l.a = r.b)
+select doc_id, cast(len(own) as bigint) as n_shingles, min(b) as component_id, doc_id = min(b) as kept
+from s join reach on a = doc_id group by doc_id, len(own)
+"""

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import SQL as CHAT_SQL
 from .chat import op9_chat_prefix_target
 from .decontaminate import op7_decontamination
 from .licenses import op5_license_scan
 from .lines import SQL as LINES_SQL
 from .lines import op1_line_dedup
 from .media import op10_media_chunks
+from .neardup import SQL as NEARDUP_SQL
 from .neardup import op4_minhash
 from .passages import op8_substring_dedup
 from .pieces import op6_sentencepiece
+from .shards import SQL as SHARDS_SQL
 from .shards import op2_sharding
 from .toxicity import op3_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_toxicity, op4_minhash, op5_license_scan, op6_sentencepiece, op7_decontamination, op8_substring_dedup, op9_chat_prefix_target, op10_media_chunks)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINES_SQL, "op2_sharding": SHARDS_SQL, "op4_minhash": NEARDUP_SQL, "op9_chat_prefix_target": CHAT_SQL}

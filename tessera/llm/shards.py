@@ -70,16 +70,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-#: The same rows without text_crc32, which DuckDB has no function for, can be compared with this.
-SQL_WITHOUT_CRC = f"""
-with d as (
+#: DuckDB has no crc32: a table of its steps, and a fold over the bytes.
+SQL = f"""
+with steps as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as step),
+d as (
   select doc_id, coalesce('s' || source, '-') as stratum, md5('{SEED}:' || coalesce(cast(doc_id as varchar), '-')) as mix,
-         cast(strlen(coalesce(text, '')) + 1 as bigint) as size, source from documents),
+         cast(strlen(coalesce(text, '')) + 1 as bigint) as size, source,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint))),
+             lambda c, b: xor(c // 256, step[xor(c % 256, b) + 1])), 4294967295) as text_crc32 from documents, steps),
 r as (
-  select *, row_number() over (partition by stratum order by mix, doc_id, size) as rank, count(*) over (partition by stratum) as total,
+  select *, row_number() over (partition by stratum order by mix, doc_id, text_crc32, size) as rank, count(*) over (partition by stratum) as total,
          cast(cast('0x' || substr(md5('{SEED}:' || stratum), 1, 12) as bigint) as double) / 281474976710656.0 as shift from d),
 p as (
   select *, row_number() over (order by (rank - shift) / total, stratum, rank) - 1 as pos, count(*) over () as n from r)
-select doc_id, size, 'rows' as law, cast(pos * {SHARDS} // n as int) as shard,
-       cast(pos - (pos * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} as bigint) as slot, source from p
+select doc_id, size, text_crc32, 'rows' as law, cast(pos * {SHARDS} // n as int) as shard,
+       cast(pos - (pos * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} as bigint) as slot, cast(null as int) as grown_shard, source from p
 """

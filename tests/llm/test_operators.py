@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import chat, decontaminate, licenses, lines, media, neardup, passages, pieces, shards, toxicity
+from tessera.llm import chat, decontaminate, licenses, lines, media, neardup, passages, pieces, registry, shards, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d long, kept boolean, n_lines long"
@@ -90,12 +90,19 @@ def test_shards(spark, odd):
     assert sizes.max() - sizes.min() <= 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     assert shards.interleave(empty(odd)).count() == 0
+    texts = dict(duckdb.sql(f"select doc_id, text from '{DIR}/documents.parquet'").fetchall())
+    assert all(zlib.crc32((texts[r.doc_id] or "").encode()) == r.text_crc32 for r in shards.op2_sharding(spark, DIR).collect())
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
-    a, b = shards.op2_sharding(spark, DIR).toPandas(), con.execute(shards.SQL_WITHOUT_CRC).df()
-    assert sorted(map(tuple, a[["doc_id", "size", "shard", "slot"]].values.tolist())) == sorted(map(tuple, b[["doc_id", "size", "shard", "slot"]].values.tolist()))
-    texts = dict(con.execute("select doc_id, text from documents").fetchall())
-    assert all(zlib.crc32((texts[r.doc_id] or "").encode()) == r.text_crc32 for r in a.itertuples())
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, DIR), con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
 
 
 def test_toxicity(spark, odd):
