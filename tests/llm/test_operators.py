@@ -259,6 +259,19 @@ def test_chains_of_several_passages(seed):
     assert whole == pytest.approx(max(best.values()))
 
 
+def test_chains_in_line_are_the_best_ones():
+    import numpy as np
+
+    rng = random.Random(21)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        at, to = (np.cumsum([rng.choice([1, 2, 9, 30, 60, 61, 90]) for _ in range(n)]) for _ in range(2))
+        got = sorted((a, b) for a, b in passages.in_line(at, to))
+        x, y = at.tolist(), to.tolist()
+        assert got == sorted(([x[i] for i in c], [y[i] for i in c]) for c in passages.chains(x, y))
+    assert passages.in_line(np.array([1, 2]), np.array([5, 5])) is None
+
+
 @pytest.mark.parametrize("gap", [50, 70, 300, 5000])
 def test_chains_behind_a_long_gap(gap):
     first, second = list(range(0, 500, 6)), list(range(500 + gap, 700 + gap, 6))
