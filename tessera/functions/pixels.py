@@ -128,3 +128,17 @@ def from_opponent(light: Column, alpha: Column, beta: Column) -> tuple[Column, C
     cones = [F.coalesce(F.pow(F.lit(10.0), v), F.lit(0.0)) for v in (p + q + s, p + q - s, p - q * 2.0)]
     red, green, blue = (to_u8((cones[0] * w[0] + cones[1] * w[1] + cones[2] * w[2]) * 255.0) for w in COLOURS)
     return blue, green, red
+
+
+# Gray levels from which a pixel seeds an object, and from which it may belong to one.
+SEED_LEVEL, MASK_LEVEL = 80, 45
+
+
+def seed_and_mask(x: Column, seed: int = SEED_LEVEL, mask: int = MASK_LEVEL) -> tuple[Column, Column]:
+    """Whether a pixel is over the upper and over the lower of two levels."""
+    return x > seed, x > mask
+
+
+def divide(x: Column, y: Column) -> Column:
+    """x / y; null where y is 0."""
+    return F.try_divide(x.cast("double"), y.cast("double"))

@@ -40,3 +40,16 @@ def finalize(sums: DataFrame, ignore_bad: bool = False, digits: int = 9) -> Data
     mean = F.col("nu_sum") / n
     var = F.col("nu_sum_square") / n - mean * mean
     return sums.withColumn("nu_mean", F.round(mean, digits)).withColumn("nu_stdev", F.round(F.sqrt(F.greatest(var, F.lit(0.0))), digits))
+
+
+def mean_vector(long: DataFrame, keys: list[str]) -> DataFrame:
+    """The average of every feature over the good values of a group's objects, as one array in the order of feature_idx."""
+    means = finalize(tile_sum(long, keys), digits=15)
+    return means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("feature_idx", "nu_mean"))).alias("v")).select(*keys, F.col("v.nu_mean").alias("features"))
+
+
+def longest_feature(long: DataFrame, normalise: bool = False) -> DataFrame:
+    """The feature with the largest 2-norm over all rows (of equal ones the first), and the norm; or the norm over the root of
+    the number of rows."""
+    sums = tile_sum(long, []).withColumn("norm", F.sqrt(F.col("nu_sum_square") / (F.col("nu_count") if normalise else F.lit(1))))
+    return sums.orderBy(F.desc("norm"), "feature_idx").limit(1).select("feature_idx", "norm")

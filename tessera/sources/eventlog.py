@@ -26,27 +26,34 @@ def _number(x: Column, kind: str) -> Column:
     return F.coalesce(x.try_cast(kind), F.lit(0).cast(kind))
 
 
+def _parse(lines: DataFrame, head: Column, width: Column, grouped: Column) -> DataFrame:
+    """Events of lines whose version gives the fields before the first event, the fields an event and whether there is a
+    group. A line is split once, then taken apart inside one array function; each event is a slice of it."""
+    others = [c for c in lines.columns if c != "value"]
+
+    def line(part: Column) -> Column:
+        at = lambda i: F.try_element_at(part, F.lit(i))
+        n = F.floor((F.size(part) - head) / width).cast("int")
+        # a last attribute may lack its closing comma, or be left out together with it
+        n = F.when((width == 5) & ((F.size(part) - head) % width == width - 1), n + 1).otherwise(n)
+        events = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(part, head + 1 + i * width, width)))
+        grp, session = F.when(grouped, at(6).try_cast("int")), F.when(grouped, at(8)).otherwise(at(6))
+        return F.struct(at(2).try_cast("int").alias("pid"), at(4).alias("hostName"), grp.alias("grp"), session.alias("sessionName"), events.alias("events"))
+
+    rows = lines.filter(F.trim("value").startswith("pid,")).select(*others, F.explode(F.transform(F.array(F.split("value", ",")), line)).alias("l"))
+    flat = rows.select(*others, "l.pid", "l.hostName", "l.grp", "l.sessionName", F.posexplode("l.events").alias("seq", "e"))
+    field = lambda k: F.try_element_at("e", F.lit(k))
+    return flat.filter(field(1) != "").select(
+        *others, "pid", "hostName", "grp", "sessionName", "seq", field(1).alias("eventName"), field(2).try_cast("int").alias("eventType"),
+        field(3).try_cast("bigint").alias("startT"), field(4).try_cast("bigint").alias("endT"), _number(field(5), "bigint").alias("attribute"),
+    )
+
+
 def parse_lines(lines: DataFrame, known: str) -> DataFrame:
     """Events of the lines (column `value`; other columns are kept) of one version: pid, hostName, grp, sessionName, seq
     (from 0 within the line), eventName, eventType, startT, endT, attribute. Works on batches and streams."""
     head, width = LAYOUT[known]
-    others = [c for c in lines.columns if c != "value"]
-    part = F.split("value", ",")
-    at = lambda i: F.try_element_at(F.col("part"), i if isinstance(i, Column) else F.lit(i))
-    n = F.floor((F.size("part") - head) / width).cast("int")
-    # a last attribute may lack its closing comma, or be left out together with it
-    n = F.when((F.size("part") - head) % width == width - 1, n + 1).otherwise(n) if width == 5 else n
-
-    def event(i: Column) -> Column:
-        field = lambda k: at(F.lit(head + 1 + k) + i * width)
-        attribute = _number(field(4), "bigint") if width == 5 else F.lit(0).cast("bigint")
-        return F.struct(field(0).alias("eventName"), field(1).try_cast("int").alias("eventType"), field(2).try_cast("bigint").alias("startT"), field(3).try_cast("bigint").alias("endT"), attribute.alias("attribute"))
-
-    rows = lines.filter(F.trim("value").startswith("pid,")).withColumn("part", part).withColumn("n", n).filter("n > 0")
-    grp, session = (at(6).try_cast("int"), at(8)) if known == "v2.1" else (F.lit(None).cast("int"), at(6))
-    events = F.transform(F.sequence(F.lit(0), F.col("n") - 1), event)
-    flat = rows.select(*others, at(2).try_cast("int").alias("pid"), at(4).alias("hostName"), grp.alias("grp"), session.alias("sessionName"), F.posexplode(events).alias("seq", "e"))
-    return flat.select(*others, "pid", "hostName", "grp", "sessionName", "seq", "e.*").filter("eventName != ''")
+    return _parse(lines, F.lit(head), F.lit(width), F.lit(known == "v2.1"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -55,11 +62,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     heads = lines.filter(F.col("value").rlike(r"^v\d")).groupBy("experiment").agg(F.min("value").alias("head"))
     known = lines.join(heads, "experiment", "left").withColumn("version", version(F.coalesce("head", F.lit("")))).drop("head")
-    out = None
-    for v in LAYOUT:
-        part = parse_lines(known.filter(F.col("version") == v), v).drop("version")
-        out = part if out is None else out.unionByName(part)
-    return out
+    by_version = lambda of: F.coalesce(*(F.when(F.col("version") == v, of(v)) for v in LAYOUT))
+    supported = known.filter(F.col("version").isNotNull())
+    return _parse(supported, by_version(lambda v: LAYOUT[v][0]), by_version(lambda v: LAYOUT[v][1]), F.col("version") == "v2.1").drop("version")
 
 
 def read_stream(spark: SparkSession, path: str, known: str = "v2.1", files_per_trigger: int = 64) -> DataFrame:
