@@ -2,7 +2,7 @@
 
 A text becomes words: A-Z as a-z, everything else in ASCII but a-z and 0-9 separates. Rules are regular expressions over the
 words joined by one space; each has a label, a keyword and a priority. Every text is
-split, and of the rules only those whose keyword stands in the words are run. Every match is an interval of words. A match
+split, and of the rules only those whose keyword stands in the words are run (a rule's keyword stands in all that it can match). Every match is an interval of words. A match
 that lies inside another one of at least its priority (or of the same words, by an earlier rule) is suppressed; the labels
 of the matches that are left are the text's labels. Everything happens inside one row, without a shuffle.
 
@@ -13,7 +13,8 @@ Base phrases (mit license, apache license, general public license) are counted a
 score: w / (w + 2) for the longest match (base phrases included) of w words; 0 without any.
 
 Defined results: a null or empty text has no words; repeated rows give equal rows; null doc_ids are kept; an empty table gives
-no rows; extra columns are ignored.
+no rows; texts are taken whole, whatever their length; of equal intervals the earlier rule wins; extra columns, of any name,
+are ignored.
 """
 
 from __future__ import annotations
@@ -115,10 +116,19 @@ NOTICES = (
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
 )
 
+# First words of identifiers that are rare enough in texts to be their keywords; of others, all words are.
+STEMS = ("gpl", "bsd", "mpl", "epl", "osl", "afl", "ofl", "upl", "cpl", "bsl", "psf", "odc")
+
 _WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def keyword_of(name: str) -> str:
+    """What stands in every text that has an identifier."""
+    first = name.split()[0].rstrip("0123456789")
+    return first if len(first) > 3 or first in STEMS else name
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """All rules in order: label, keyword, regular expression, priority."""
     out = []
@@ -126,7 +136,7 @@ def rules() -> list[tuple[str, str, str, int]]:
         out.append((label, keyword, rf"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?{title}", 3))
         out.append((label, keyword, title, 2))
         for name in names:
-            out.append((label, name, rf"(?:spdx )?(?:license identifier )?{name}(?: only| or later)?", 1))
+            out.append((label, keyword_of(name), rf"(?:spdx )?(?:license identifier )?{name}(?: only| or later)?", 1))
     return out + [(label, keyword, expr, 3 if len(expr.split()) > 5 else 1) for label, keyword, expr in NOTICES]
 
 
@@ -169,8 +179,11 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.zip_with(_starts(F.col("words"), rule["expr"]), texts, lambda at, m: F.struct(
             at.alias("first"), F.negative(at + _spaces(m)).alias("end"), F.negative(rule["priority"]).alias("rank"), rule["rule"].alias("rule"), rule["label"].alias("label")))
 
-    found = F.sort_array(F.flatten(F.transform(F.filter(table_of, lambda r: F.contains(F.col("words"), r["keyword"])), matches)))
-    base = base.withColumn("all", F.when(F.col("words").isNotNull(), found))
+    # each keyword is sought once, whatever number of rules has it; without any, no rule is looked at
+    keywords = F.array(*(F.lit(k) for k in sorted({k for _, k, _, _ in rules()})))
+    base = base.withColumn("present", F.filter(keywords, lambda k: F.contains(F.col("words"), k)))
+    found = F.sort_array(F.flatten(F.transform(F.filter(table_of, lambda r: F.array_contains("present", r["keyword"])), matches)))
+    base = base.withColumn("all", F.when(F.size("present") > 0, found))
     # in order of first word, then longest, then priority: the largest end so far, by least priority
     empty = F.struct(*(F.lit(-1).cast("long").alias(f"e{p}") for p in (1, 2, 3)), F.array().cast("array<struct<rule:int,label:string,priority:int,first:long,last:long>>").alias("found"))
 

@@ -435,3 +435,27 @@ def test_widest_chains_against_all_pairs(seed):
         if not any(w[1][0] <= c[1][0] and c[1][-1] <= w[1][-1] for w in want):
             want.append(c)
     assert passages.widest(found) == want
+
+
+def plain_scan(text):
+    """All matches of all rules by plain loops; hidden ones (inside another of at least their priority) left out."""
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))
+    joined = "".join(f"{w} " for w in words)
+    every = []
+    for i, (label, _, expr, priority) in enumerate(licenses.rules()):
+        for m in re.finditer(rf"(?<![^ ])(?:{expr})(?= )", joined):
+            first = joined[: m.start()].count(" ")
+            every.append((first, first + m[0].count(" "), priority, i, label))
+    every.sort(key=lambda m: (m[0], -m[1], -m[2], m[3]))
+    return [(i, a, b) for k, (a, b, p, i, _) in enumerate(every) if not any(x <= a and b <= y and q >= p for x, y, q, *_ in every[:k])]
+
+
+def test_licenses_against_plain_loops(spark):
+    rng = random.Random(13)
+    titles = ["apache software license version 2 0", "mit license", "GNU Lesser General Public License v2.1", "general public license version 3", "BSD 3 clause license", "CC BY-SA 4.0", "gplv3", "mozilla public license 2.0",
+              "SPDX-License-Identifier: MPL-2.0", "all rights reserved", "Permission is hereby granted, free of charge, to any person obtaining a copy", "licensed under the terms of the", "(c) Copyright 2019", "either version 2 of the license, or (at your option) any later version", "creative commons attribution 4.0", "zlib license", "ISC", "und für", "public domain"]
+    texts = [rng.choice([" ", "\n", "-", ", "]).join(rng.choice(titles) if rng.random() < 0.6 else "some words" for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    texts += [" ".join(titles * 40), *(f"x {name} y" for _, _, _, names in licenses.LICENSES for name in names)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("present", F.lit(2))
+    for r in licenses.scan(df).collect():
+        assert sorted((m.rule, m.first, m.last) for m in r.found) == sorted(plain_scan(texts[r.doc_id])), texts[r.doc_id]
