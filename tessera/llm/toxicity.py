@@ -7,7 +7,7 @@ Aho-Corasick automaton then finds all lexicon entries in one walk over the whole
 count. The weights are summed over distinct hits and over all hits, the latter per length, and a logistic function of both
 gives the score.
 
-The entries, their weights, the learned exceptions and the logistic function come from labelled documents: at most
+The entries, their weights and the logistic function (not the exceptions, a fixed list) come from labelled documents: at most
 SAMPLE_ROWS of them, the first in the order of a hash of doc_id (documents' crc32 decides which labels may be used). Copies
 count once: a document's family are those with equal folded words in equal order. An entry's weight is its log odds between toxic
 and other families. The lexicon has at most LEXICON_ROWS entries.
