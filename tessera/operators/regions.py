@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import cut
-
-#: Larger than the width of every tile.
-STRIDE = 1 << 20
+from .morphology import STRIDE
+from .staging import cut, drop
 
 
 def lowest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -24,10 +22,14 @@ def lowest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(state.select("tile", F.col("node").alias("b"), "label"), ["tile", "b"]).groupBy("tile", F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = state.join(near, ["tile", "node"], "left").select("tile", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hooked = cut(hooked)
+        drop(state)
         up = hooked.select("tile", F.col("node").alias("label"), F.col("label").alias("up"))
         moved = cut(hooked.join(up, ["tile", "label"]).select("tile", "node", "old", F.col("up").alias("label")))
+        drop(hooked)
         state = moved.drop("old")
+        state._tessera_path = moved._tessera_path
         if moved.filter("old != label").isEmpty():
+            drop(both)
             return state
 
 

@@ -2,15 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a new local one, if the driver is the only machine; else an
+    error, as executors couldn't see it."""
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        got = "file://" + tempfile.mkdtemp(prefix="tessera-rounds-")
+        spark.conf.set("spark.checkpoint.dir", got)
+    return got.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the folder of spark.checkpoint.dir, so that a lost executor costs no earlier round. A new
-    folder is made only where that setting is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-rounds-"))
-    return df.checkpoint()
+    """The rows written in the shared folder and read again, so that a lost executor costs no earlier round. drop() or the
+    end of the driver deletes them."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() that no later plan reads; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        spark = _written.pop(path, None)
+        if spark is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone by now
+            pass

@@ -53,3 +53,35 @@ def test_reconstruct(spark):
         want = {(y, x): min(m[y, x], max(old.get((y + a, x + b), -99) for a in (-1, 0, 1) for b in (-1, 0, 1))) for y, x in m}
     df = spark.createDataFrame([(1, y, x, m[y, x], k[y, x]) for y, x in m], "tile long, y int, x int, m int, k int")
     assert {(r.y, r.x): r.value for r in morphology.reconstruct(df, "m", "k").collect()} == want
+
+
+def _grid(spark, rng, height, width, top):
+    v = {(y, x): (rng.randrange(top), rng.randrange(top)) for y in range(height) for x in range(width)}
+    return v, spark.createDataFrame([(1, y, x, a, b) for (y, x), (a, b) in v.items()], "tile long, y int, x int, m int, k int")
+
+
+def test_reconstruction_by_repeated_dilation(spark):
+    rng = random.Random(3)
+    for conn, top in ((8, 6), (4, 40)):
+        v, df = _grid(spark, rng, 9, 14, top)
+        want, old = {p: min(a, b - top // 3) for p, (a, b) in v.items()}, None
+        while want != old:
+            old = want
+            near = lambda y, x: [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (conn == 8 or not a * b) and (y + a, x + b) in v]  # noqa: B023, E731
+            want = {p: min(v[p][0], max(old[q] for q in near(*p))) for p in v}
+        got = {(r.y, r.x): r.value for r in morphology.reconstruct(df.selectExpr("tile", "y", "x", "m", f"k - {top // 3} as k"), "m", "k", conn).collect()}
+        assert got == want
+    assert morphology.reconstruct(df.limit(0), "m", "k").count() == 0
+
+
+def test_kernels_of_any_form(spark):
+    v, df = _grid(spark, random.Random(5), 7, 11, 90)
+    for offsets in (morphology.octagon(3, 4), [(0, -2), (0, 2), (1, 0), (-3, 1), (-3, 2)]):
+        for f, least in ((morphology.dilate, max), (morphology.erode, min)):
+            sign = 1 if least is max else -1
+            want = {}
+            for y, x in v:
+                got = [v[y - sign * a, x - sign * b][0] for a, b in offsets if (y - sign * a, x - sign * b) in v]
+                want[y, x] = least(got) if got else None
+            found = {(r.y, r.x): r.m for r in f(df, "m", offsets).collect()}
+            assert {p: found.get(p) for p in v} == want
