@@ -82,8 +82,8 @@ def _roots(hooks: DataFrame) -> DataFrame:
         drop(hooks)
         if new.filter("to != next").isEmpty():
             return new
-        hooks = cut(new.select("tile", "a", "m", "e", F.col("next").alias("to")))
-        drop(new)
+        hooks = new.select("tile", "a", "m", "e", F.col("next").alias("to"))
+        hooks._tessera_path = new._tessera_path
 
 
 def reconstruct(pixels: DataFrame, mask: str, marker: str, conn: int = 8) -> DataFrame:

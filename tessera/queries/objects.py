@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 from ..operators import regions
-from ..plans import normalize, objects
+from ..operators.morphology import disc
+from ..plans import normalize, objects, segment
 from .pixels import _PX, _gray, pixels
 from .regions import _ON, _mask, _reach
 
@@ -76,7 +77,21 @@ def nrm_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("tile").agg(*(F.round(F.avg(c), 1).alias(c) for c in "bgr"))
 
 
-QUERIES = {f.__name__: f for f in (fea_morphometry, fea_intensity, agg_tile_moments, fea_texture, fea_ring, join_label_overlap, prj_stains, prj_simple, prj_opponent, nrm_target, nrm_tiles)}
+def seg_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations play tiles of 64 x 64, their suppliers nuclei; every fifth nation's tile is blank, and every fifth supplier a red cell."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").cast("long").alias("tile"), "s_suppkey")
+    s = s.select("tile", (F.col("s_suppkey") * 17 % 52 + 6).cast("int").alias("cy"), (F.col("s_suppkey") * 29 % 52 + 6).cast("int").alias("cx"), (F.col("s_suppkey") % 5 == 0).alias("red"))
+    d = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disc(5))))
+    drawn = s.filter("tile % 5 != 4").select("tile", "cy", "cx", "red", d.alias("d")).groupBy("tile", (F.col("cy") + F.col("d.dy")).alias("y"), (F.col("cx") + F.col("d.dx")).alias("x")).agg(F.max("red").alias("red"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y"))
+    grid = n.select("tile", "y", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x")).join(drawn, ["tile", "y", "x"], "left")
+    shade = lambda nucleus, cell, ground: F.when(F.col("tile") % 5 == 4, 250).when(F.col("red").isNull(), ground).when(F.col("red"), cell).otherwise(nucleus)
+    labels, status = segment.segment(grid.select("tile", "y", "x", shade(90, 10, 180).alias("b"), shade(60, 10, 180).alias("g"), shade(70, 90, 200).alias("r")))
+    sums = labels.groupBy("tile").agg(F.countDistinct("label").alias("n_objects"), F.count("*").alias("n_pixels"))
+    return status.join(sums, "tile", "left").select("tile", F.round("ratio", 6).alias("ratio"), "status", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_objects", "n_pixels")))
+
+
+QUERIES = {f.__name__: f for f in (seg_status, fea_morphometry, fea_intensity, agg_tile_moments, fea_texture, fea_ring, join_label_overlap, prj_stains, prj_simple, prj_opponent, nrm_target, nrm_tiles)}
 
 _L = _reach(_ON, 8)
 _MOMENTS = "round(avg(gray), 4) as mean, min(gray) as lowest, max(gray) as highest"
@@ -118,6 +133,10 @@ ORACLE_SQL = {
        round(sum(pow(1 - mx + j - my, 3) * p), 6) as cluster_shade, round(sum(pow(1 - mx + j - my, 4) * p), 6) as cluster_prominence from pp join m using (tile, angle) group by all""",
     "fea_ring": _L + """, r as (select distinct l.tile, l.label, q.y, q.x from l join q on l.tile = q.tile and (l.y - q.y) * (l.y - q.y) + (l.x - q.x) * (l.x - q.x) <= 4)
       select tile, label, count(*) as n, sum(y)::bigint as sum_y, sum(x)::bigint as sum_x from (from r anti join l using (tile, label, y, x)) group by all""",
+    "join_label_overlap": _L + f""", n4 as materialized (select a.tile, a.node as p, b.node as r from o a join o b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1),
+      reach4 as (select tile, node as p, node as r from o union select n4.tile, reach4.p, n4.r from reach4 join n4 on n4.tile = reach4.tile and n4.p = reach4.r),
+      l4 as (select tile, p, min(r) as label_b from reach4 group by all)
+      select l.tile, l.label as label_a, l4.label_b, count(*) as n from l join l4 on l4.tile = l.tile and l4.p = l.y::bigint * {regions.STRIDE} + l.x group by all""",
     "prj_stains": _PX + f"select tile, y, x, {_STAIN} from p",
     "prj_simple": _PX + """select tile, y, x, g % 7 as m, case when g = 128 then 0 else g end as p, g >= 100 and g < 150 as w, case when r > 128 then g else 255 end as k,
       (r / (g + 1.1920928955078125e-07::double) > 1.5) and (r / (b + 1.1920928955078125e-07::double) > 1.0) as red from p""",

@@ -81,6 +81,15 @@ def _reach(on: str, conn: int) -> str:
      l as (select o.tile, o.y, o.x, o.gray, min(reach.r) as label from o join reach on reach.tile = o.tile and reach.p = o.node group by all) """
 
 
+def _widest(mask: str, marker: str) -> str:
+    """The widest way from every pixel: all widths that reach it, then the greatest."""
+    sql = _PX.replace("with e as", "with recursive e as", 1)
+    return sql + f""", n as materialized (select tile, y, x, y * 8 + x as node, ({mask})::int as m, least({mask}, {marker})::int as k from q),
+     near as materialized (select a.tile, a.node as p, b.node as r, b.m from n a join n b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.node != b.node),
+     go as (select tile, node, k as v from n union select near.tile, near.r, least(go.v, near.m) from go join near on near.tile = go.tile and near.p = go.node),
+     w as (select tile, node, max(v) as v from go group by all) """
+
+
 _ON, _OFF = f"gray >= {LEVEL}", f"gray < {LEVEL}"
 QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct, mor_maxima, mor_hmin, mor_basins, cc_fill_seeds)}
 _FLAT = """, n8 as materialized (select a.tile, a.node as p, a.gray as v, b.node as r, b.gray as u from o a join o b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.node != b.node),
@@ -100,6 +109,8 @@ ORACLE_SQL = {
     "cc_boxes": _reach(_ON, 8) + "select tile, label, count(*) as area, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y from l group by tile, label having count(*) >= 3 and count(*) < 30",
     "cc_select": _reach(_ON, 4) + f"select tile, y, x, label from l where (tile, label) in (select (tile, label) from l where gray >= {SEED})",
     "cc_fill_holes": _reach(_OFF, 4) + f"select tile, y, x from q where {_ON} union all select tile, y, x from l where (tile, label) not in (select (tile, label) from l where x in (0, 7) or y in (0, 7))",
+    "mor_reconstruct": _widest("gray", "greatest(gray - 40, 0)") + "select tile, y, x, v as value from w join n using (tile, node)",
+    "mor_hmin": _widest("-gray", "-gray - 20") + "select tile, y, x, -v as value from w join n using (tile, node)",
     "mor_dilate": _PX + "select a.tile, a.y, a.x, max(b.gray) as gray from q a join q b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all",
     "mor_open": _PX + """, w as (select a.tile, a.y, a.x, min(b.gray) as gray from q a join q b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1 group by all)
       select a.tile, a.y, a.x, max(b.gray) as gray from w a join w b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1 group by all""",
