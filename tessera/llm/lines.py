@@ -1,20 +1,25 @@
 """Line dedup with a suffix array over line ids, with DataFrame functions only.
 
 Every document is a sequence of line ids (blank lines left out). Suffixes of all sequences are ranked by distributed prefix
-doubling: ranks by the first line, then by the first 2, 4, ... lines, where the rank by 2n lines orders the pairs (rank by n
-lines here, rank by n lines n places on); the last step overlaps, to reach MIN_LINES exactly. The ranks of a step are
-given to the distinct pairs alone, which are range-partitioned and sorted, so a line or run that a third of all rows hold
-is one row there. Suffixes whose prefix occurs once are discarded as soon as that shows: they are in no interval.
+doubling: ranks by the first line, then by the first 2, 3, 6, 12, ... lines, where the rank by 2n lines orders the pairs
+(rank by n lines here, rank by n lines n places on); the one step that reaches min_lines overlaps. It goes on until no prefix
+occurs twice. The ranks of a step are given to the distinct pairs alone, which are range-partitioned and sorted, so a line or
+run that a third of all rows hold is one row there. Suffixes whose prefix occurs once are discarded as soon as that shows.
 
-Equal ranks by MIN_LINES lines are exactly the intervals of the suffix array whose longest common prefix is MIN_LINES or
-more. In each, the first suffix in the order of doc_id and place keeps its lines; the lines of later ones are deleted.
-Overlapping deletions unite to the maximal repeated runs. So a line goes just when it lies in MIN_LINES or more neighbouring
-lines that also stand earlier (in a document of lower doc_id, or higher up in the same document).
+Equal ranks by n lines are exactly the intervals of the suffix array whose longest common prefix is n lines or more. In each,
+the first suffix in the order of doc_id and place is the copy that stays, and every later one is a span of n lines to delete,
+if n is min_lines or more, or its lines hold min_words words. Of a suffix, the longest such span counts; spans inside others
+fall away, and spans that go on along one first copy unite to a run. So each run stands as a whole in its first copy. Where a
+document before that copy holds a part of the run, it can be told as overlapping runs of two first copies; the same lines go.
+
+So a line goes just when it lies in MIN_LINES or more neighbouring lines, or in one or two of MIN_WORDS words together, that
+also stand earlier (in a document of lower doc_id, or higher up in the same document).
 
 Defined results: lines end at \\n; lines of white space alone are no part of runs, and go only between two deleted lines; a
-null text has no lines and stays null; rows with equal doc_id and text are one document, which is given once; null doc_ids
-come first in the order; documents with equal doc_id and other texts are ordered by a hash of the text; an empty table gives
-no rows; extra columns are kept by dedup_lines.
+null text has no lines and stays null; of rows with equal doc_id and text, one is given, the one whose columns have the least
+hash; null doc_ids come first in the order; documents with equal doc_id and other texts are ordered by a hash of the text; an
+empty table gives no rows; dedup_lines keeps extra columns as they are, and puts underscores after the names of its own
+columns where the table has such names. A very long text is one row a line, but its spans are ordered in one task.
 """
 
 from __future__ import annotations
@@ -22,82 +27,117 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table
+from .common import cut, drop_cut, fresh_name, table
 
 MIN_LINES = 3
+#: Words from which a run of fewer lines counts too.
+MIN_WORDS = 40
 _KEY = ["d", "t"]
+_WORD = r"[^\x20\x09-\x0D]+"
+_FIGURES = ["n_lines", "n_deleted", "n_runs", "longest_run"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with an order key d, t; rows with equal keys once. Whether there are any is asked of the ids first."""
-    out = docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "t": F.xxhash64("text")})
+def _keyed(docs: DataFrame, d: str, t: str) -> DataFrame:
+    """The documents with an order key in columns d and t; rows with equal keys once. Whether there are any is asked of the
+    ids first."""
+    out = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), t: F.xxhash64("text")})
     ids = docs.select(F.col("doc_id").cast("long").alias("d"))
-    if not ids.groupBy("d").count().filter("count > 1 or d is null").isEmpty():
-        out = out.dropDuplicates(_KEY)
-    return out
+    if ids.groupBy("d").count().filter("count > 1 or d is null").isEmpty():
+        return out
+    names = out.columns
+    one = out.groupBy(d, t).agg(F.min_by(F.struct(*names), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("r"))
+    return one.select(*(F.col("r")[c].alias(c) for c in names))
 
 
-def _named(keys: DataFrame) -> DataFrame:
-    """The distinct keys with a rank that follows their order."""
-    names = keys.columns
-    return keys.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("rank", F.monotonically_increasing_id())
+def _named(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of several suffixes with the first of these, and a rank that follows the order of the keys."""
+    many = found.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("first")).filter("n > 1").drop("n")
+    return many.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
 
 
-def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The suffixes whose first min_lines lines occur more than once: d, t, place, line (its number in the text), last
-    (that of the last of the min_lines lines), rank, and the first of the interval's suffixes."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
+def repeated_prefixes(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """For each length in lines, the suffixes whose prefix of it occurs more than once: d, t, place, line (its number in the
+    text), last (that of the prefix's last line), words (while the length is below min_lines), rank, and the first of the
+    suffixes of that rank. The tables are cut; the caller drops them."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: s["x"].rlike(_WORD))
     rows = docs.filter("text is not null").select("d", "t", F.posexplode(lines).alias("place", "s"))
-    rows = rows.select("d", "t", "place", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit("second"), "s.x").alias("h2"))
-    many = _named(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"))
-    ranks = cut(rows.join(many, ["h1", "h2"]).select("d", "t", "place", "line", F.col("line").alias("last"), "rank"))
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        ahead = ranks.select("d", "t", (F.col("place") - step).alias("place"), F.col("last").alias("last2"), F.col("rank").alias("rank2"))
-        pairs = ranks.join(ahead, ["d", "t", "place"]).select("d", "t", "place", "line", F.col("last2").alias("last"), F.col("rank").alias("a"), F.col("rank2").alias("b"))
-        many = _named(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"))
-        new = cut(pairs.join(many, ["a", "b"]).drop("a", "b"))
-        drop_cut(ranks)
-        ranks = new
+    rows = rows.select("d", "t", "place", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit("second"), "s.x").alias("h2"), F.regexp_count("s.x", F.lit(_WORD)).alias("words"))
+    keys = ["h1", "h2"]
+    ranks = cut(rows.join(_named(rows, keys), keys).select("d", "t", "place", "line", F.col("line").alias("last"), "words", "rank", "first"))
+    length, out = 1, []
+    while not ranks.isEmpty():
+        out.append((length, ranks))
+        step = length if length >= min_lines else min(length, min_lines - length)
+        here = ranks.select("d", "t", "place", "line", "words", F.col("rank").alias("a"))
+        ahead = ranks.select("d", "t", (F.col("place") - step).alias("place"), "last", F.col("words").alias("more"), F.col("rank").alias("b"))
+        pairs = here.join(ahead, ["d", "t", "place"]).withColumn("words", F.col("words") + F.col("more")).drop("more")
+        ranks = cut(pairs.join(_named(pairs, ["a", "b"]), ["a", "b"]).drop("a", "b"))
         length += step
-    first = ranks.groupBy("rank").agg(F.min(F.struct("d", "t", "place")).alias("first"))
-    return ranks.join(first, "rank")
+    drop_cut(ranks)
+    return out
 
 
-def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Per document (d, t) with later copies, its maximal runs: an array of line numbers a and b (first and last)."""
-    later = repeated_suffixes(docs, min_lines).filter(F.struct("d", "t", "place") != F.col("first")).select("d", "t", "place", "line", "last")
+def later_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The runs of lines that are later copies, of documents with keys d and t: place and line of their first line, last (the
+    number of their last line), n (lines that aren't blank), first (d, t and place of the first copy), and fresh (lines that
+    are in no run with a lesser place). A cut table."""
+    levels = repeated_prefixes(docs, min_lines)
+    if not levels:
+        return docs.sparkSession.createDataFrame([], "d long, t long, place int, line int, last int, n int, first struct<d: long, t: long, place: int>, fresh long")
+    spans = None
+    for length, ranks in levels:
+        enough = F.lit(True) if length >= min_lines else F.col("words") >= min_words
+        later = ranks.filter(enough & (F.struct("d", "t", "place") != F.col("first"))).select("d", "t", "place", F.struct(F.lit(length).alias("n"), "line", "last", "first").alias("span"))
+        spans = later if spans is None else spans.unionByName(later)
+    longest = spans.groupBy("d", "t", "place").agg(F.max("span").alias("span")).select("d", "t", "place", "span.*")
     order = Window.partitionBy("d", "t").orderBy("place")
-    # spans of one length: a new run begins where the span before ends above this one's first line
-    begins = later.withColumn("new", (F.coalesce(F.lag("place").over(order), F.lit(-(1 << 30))) + min_lines <= F.col("place")).cast("int"))
-    runs = begins.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("d", "t", "run").agg(F.min("line").alias("a"), F.max("last").alias("b"), (F.max("place") - F.min("place") + min_lines).alias("n"))
-    return spans.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"), F.sum("n").alias("n_deleted"), F.max("n").alias("longest_run"))
+    end, none = F.col("place") + F.col("n"), F.lit(-1)
+    # spans inside an earlier one fall away: the ends of the rest rise with their places
+    rest = longest.withColumn("before", F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), none)).filter(end > F.col("before"))
+    along = F.struct(F.col("first.d"), F.col("first.t"), F.col("first.place") - F.col("place"))
+    goes_on = F.coalesce((F.lag(along).over(order) == along) & (F.col("place") <= F.col("before")), F.lit(False))
+    runs = rest.withColumn("run", F.sum((~goes_on).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.min(F.struct("place", "line", "first"))
+    made = runs.groupBy("d", "t", "run").agg(
+        least.alias("s"), F.max("last").alias("last"), (F.max(end) - F.min("place")).alias("n"), F.sum(end - F.greatest("place", "before")).alias("fresh")
+    )
+    out = cut(made.select("d", "t", "s.place", "s.line", "last", "n", "s.first", "fresh"))
+    for _, ranks in levels:
+        drop_cut(ranks)
+    return out
+
+
+def _own_names(docs: DataFrame) -> dict[str, str]:
+    return {c: fresh_name(docs, c) for c in _FIGURES}
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns, with later copies of runs deleted from their texts, and n_lines, n_deleted (lines that
     aren't blank), n_runs and longest_run."""
-    keyed = _keyed(docs)
-    runs = cut(later_runs(keyed, min_lines))
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("runs", lambda r: i.between(r["a"], r["b"])))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    own = _own_names(docs)
+    d, t, spans = (fresh_name(docs, c) for c in ("_d", "_t", "_spans"))
+    deleted, count, longest = (fresh_name(docs, c) for c in ("_deleted", "_count", "_longest"))
+    keyed = _keyed(docs, d, t)
+    runs = later_runs(keyed.select(F.col(d).alias("d"), F.col(t).alias("t"), "text"), min_lines, min_words)
+    by_doc = runs.groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(
+        F.collect_list(F.struct(F.col("line").alias("a"), F.col("last").alias("b"))).alias(spans), F.sum("fresh").alias(deleted), F.count("*").alias(count), F.max("n").alias(longest)
+    )
+    lines = F.split("text", "\n", -1)
+    left = F.filter(lines, lambda x, i: ~F.exists(spans, lambda r: i.between(r["a"], r["b"])))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: x.rlike(_WORD))))
     # runs grow with the documents, so both sides are dealt by key at every size
-    out = keyed.join(runs.hint("merge"), _KEY, "left").withColumns({
-        "n_lines": n_lines.cast("long"), "n_deleted": F.coalesce("n_deleted", F.lit(0)).cast("long"), "n_runs": F.coalesce(F.size("runs"), F.lit(0)).cast("long"),
-        "longest_run": F.coalesce("longest_run", F.lit(0)).cast("long"), "text": F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
+    out = keyed.join(by_doc.hint("merge"), [d, t], "left").withColumns({
+        own["n_lines"]: n_lines.cast("long"), own["n_deleted"]: F.coalesce(F.col(deleted), F.lit(0)).cast("long"), own["n_runs"]: F.coalesce(F.col(count), F.lit(0)).cast("long"),
+        own["longest_run"]: F.coalesce(F.col(longest), F.lit(0)).cast("long"), "text": F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
     })
-    return out.withColumn("n_runs", F.greatest("n_runs", F.lit(0)).cast("long")).drop("d", "t", "runs")
+    return out.select(*docs.columns, *own.values())
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns alone; one of whose lines (that aren't blank) none is left goes."""
-    names = docs.columns
-    clash = [c for c in ("n_lines", "n_deleted", "n_runs", "longest_run", "d", "t", "runs") if c in names]
-    safe = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    out = dedup_lines(safe, min_lines).filter("n_deleted = 0 or n_deleted < n_lines")
-    return out.select(*(F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in names))
+    own = _own_names(docs)
+    out = dedup_lines(docs, min_lines, min_words)
+    return out.filter((F.col(own["n_deleted"]) == 0) | (F.col(own["n_deleted"]) < F.col(own["n_lines"]))).select(*docs.columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,24 +147,36 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 with l as (
-  select doc_id, line - 1 as line, x, row_number() over (partition by doc_id order by line) as place
+  select doc_id, line - 1 as line, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words
   from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)
   where regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+seq as (select doc_id, count(*) as size, list(md5(x) order by line) as xs, list(line order by line) as ls, list(words order by line) as ws from l group by doc_id),
+lengths as (select 1 as n union all select 2 union all select {MIN_LINES} * (1 << k)::bigint from range(0, 20) r(k)),
 g as (
-  select doc_id, place, line, {", ".join(f"lead(x, {i}) over w as x{i}" for i in range(1, MIN_LINES))}, x, lead(line, {MIN_LINES - 1}) over w as last
-  from l window w as (partition by doc_id order by place)),
+  select doc_id, place, n, ls[place] as line, ls[place + n - 1] as last, list_sum(list_slice(ws, place, place + n - 1)) as words,
+    md5(array_to_string(list_slice(xs, place, place + n - 1), ' ')) as key
+  from (select *, unnest(range(1, size + 1)) as place from seq) join lengths on place + n - 1 <= size),
 r as (
-  select *, row_number() over (partition by x, {", ".join(f"x{i}" for i in range(1, MIN_LINES))} order by doc_id, place) as copy from g where last is not null),
-later as (select *, case when coalesce(lag(place) over (partition by doc_id order by place), -1000000) + {MIN_LINES} <= place then 1 else 0 end as new from r where copy > 1),
+  select *, row_number() over w as copy, first_value(doc_id) over w as first_id, first_value(place) over w as first_place
+  from g window w as (partition by n, key order by doc_id, place)),
+longest as (
+  select *, place + n as stop from r where copy > 1 and (n >= {MIN_LINES} or words >= {MIN_WORDS})
+  qualify row_number() over (partition by doc_id, place order by n desc) = 1),
+rest as (
+  select * from (select *, coalesce(max(stop) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding), -1) as before from longest) where stop > before),
+marked as (
+  select *, case when place <= before and lag(first_id) over w = first_id and lag(first_place - place) over w = first_place - place then 0 else 1 end as new
+  from rest window w as (partition by doc_id order by place)),
 runs as (
-  select doc_id, run, min(line) as a, max(last) as b, max(place) - min(place) + {MIN_LINES} as n
-  from (select *, sum(new) over (partition by doc_id order by place) as run from later) group by doc_id, run),
+  select doc_id, run, min(line) as a, max(last) as b, max(stop) - min(place) as n, sum(stop - greatest(place, before)) as fresh
+  from (select *, sum(new) over (partition by doc_id order by place) as run from marked) group by doc_id, run),
 every as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
 kept as (
-  select e.doc_id, coalesce(string_agg(e.x, chr(10) order by e.line) filter (where u.a is null), '') as text
-  from every e left join runs u on u.doc_id = e.doc_id and e.line between u.a and u.b group by e.doc_id),
+  select doc_id, coalesce(string_agg(x, chr(10) order by line), '') as text
+  from every e where not exists (select 1 from runs u where u.doc_id = e.doc_id and e.line between u.a and u.b) group by doc_id),
 n as (select doc_id, count(*) as n_lines from l group by doc_id),
-s as (select doc_id, sum(n)::bigint as n_deleted, count(*) as n_runs, max(n)::bigint as longest_run from runs group by doc_id)
-select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(n_runs, 0) as n_runs, coalesce(longest_run, 0) as longest_run, kept.text
+s as (select doc_id, sum(fresh)::bigint as n_deleted, count(*) as n_runs, max(n)::bigint as longest_run from runs group by doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(n_runs, 0) as n_runs, coalesce(longest_run, 0) as longest_run,
+  case when d.text is not null then coalesce(kept.text, '') end as text
 from documents d left join n using (doc_id) left join s using (doc_id) left join kept using (doc_id)
 """

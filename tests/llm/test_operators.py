@@ -81,6 +81,33 @@ def test_lines(spark, odd):
     assert out.columns == odd.columns and lines.dedup_lines(empty(odd)).count() == 0
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[0].count("\n") == 3 and texts[6].startswith("own 6") and texts[30] is None and texts[32] == " \n\t\n"
+    assert {r.n_lines for r in lines.dedup_lines(odd).collect()} == {3} and "n_lines_" in lines.dedup_lines(odd).columns
+
+
+def test_lines_against_brute_force(spark):
+    """Random sequences of few lines, long copies, a line of many words: the lines that go, and that each run stands whole
+    in its first copy."""
+    rng = random.Random(8)
+    pool = [f"line {i}" for i in range(6)] + [" ".join(f"{c}{i}" for i in range(lines.MIN_WORDS - 2)) for c in "ab"]
+    docs = [[rng.choice(pool) for _ in range(rng.randrange(1, 30))] for _ in range(25)]
+    docs += [docs[3] * 3, docs[4][2:] + docs[5], [f"u{i}" for i in range(200)], ["x", *(f"u{i}" for i in range(200)), "y"], [" ".join(["long"] * 50)], ["a", " ".join(["long"] * 50)]]
+    df = spark.createDataFrame(list(enumerate("\n".join(d) for d in docs)), "doc_id long, text string")
+    seen, want = set(), {}
+    for i, d in enumerate(docs):
+        gone = set()
+        for a in range(len(d)):
+            for n in range(1, lines.MIN_LINES + 1):
+                part = tuple(d[a : a + n])
+                if len(part) == n and (n >= lines.MIN_LINES or len(" ".join(part).split()) >= lines.MIN_WORDS):
+                    gone |= set(range(a, a + n)) if part in seen else set()
+                    seen.add(part)
+        want[i] = (len(gone), "\n".join(x for j, x in enumerate(d) if j not in gone))
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert {i: (r.n_deleted, r.text) for i, r in got.items()} == want
+    assert (got[28].n_runs, got[28].longest_run) == (1, 200) and got[30].n_deleted == 1
+    for r in lines.later_runs(df.withColumns({"d": F.col("doc_id"), "t": F.xxhash64("text")})).collect():
+        run, first = docs[r.d][r.place : r.place + r.n], docs[r.first.d][r.first.place : r.first.place + r.n]
+        assert run == first and (r.first.d, r.first.place) < (r.d, r.place)
 
 
 def test_shards(spark, odd):
