@@ -39,6 +39,8 @@ FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_MODEL, PIECE_MODEL = os.path.join(FOLDER, "byte_bpe_50k.json"), os.path.join(FOLDER, "piece_bpe_32k.model")
 #: Characters of a block, and passages that are encoded and aligned at a time.
 BLOCK_CHARS, PASSAGES = 8_000_000, 32_768
+#: Passages that a task keeps for its next block.
+MOST_PASSAGES = 400_000
 #: An id pair as one number: the first tokenizer's id times this, plus the second's.
 PAIR = 1 << 32
 #: Pairs, or passages' links, in one row.
@@ -47,13 +49,13 @@ ROW_ITEMS = 100_000
 #: A block's rows, by kind: texts; pairs (of the block, with their number of links); passages' links (numbers of pairs).
 _SCHEMA = pa.schema([
     ("block", pa.int64()), ("kind", pa.string()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()),
-    ("first", pa.int64()), ("items", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+    ("first", pa.int64()), ("items", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
 ])
-_DDL = "block long, kind string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, first long, items array<long>, counts array<long>"
+_DDL = "block long, kind string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, first long, items array<int>, pairs array<long>, counts array<long>"
 _RESULT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string())])
 _RESULT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
-_PASSAGE = re.compile(r"(?<=\S) (?=\S)")
+_PASSAGE, _ODD_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ |\s |\s\Z| \s")
 
 
 def _byte_of() -> dict[str, int]:
@@ -86,7 +88,9 @@ class Tokenizers:
 
     def passages(self, text: str) -> list[str]:
         """The passages of a text, without the space before each."""
-        return _PASSAGE.split(text) if self.splits else [text]
+        if not self.splits:
+            return [text]
+        return _PASSAGE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
     def encode(self, passages: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Token ids of both tokenizers for passages, each after a space."""
@@ -142,81 +146,99 @@ def group_texts(groups: pa.Table, n: int, words: list[str]) -> tuple[list[str],
     return out, np.bincount(passage[np.append(True, new | other)], minlength=n)
 
 
-class Block:
-    """Texts of one block, their different passages, and what DuckDB tells of these."""
+class Passages:
+    """Different passages that a task has seen, and what DuckDB tells of each: n_a, n_b, n_groups, n_links, group text, links."""
 
-    def __init__(self, both: Tokenizers, number: int) -> None:
-        self.both, self.number, self.chars = both, number, 0
+    def __init__(self, both: Tokenizers) -> None:
+        self.both, self.done = both, 0
         self.place: dict[str, int] = {}
-        self.docs: list[tuple[int | None, np.ndarray | None]] = []
+        self.good = np.zeros(0, bool)
+        #: Rows: n_a, n_b, n_groups, n_links.
+        self.sums = np.zeros((4, 0), np.int64)
+        self.groups: list[str] = []
+        self.links, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        if not text:
-            self.docs.append((doc_id, None))
-            return
-        place = self.place
-        parts = self.both.passages(text)
-        self.docs.append((doc_id, np.fromiter((place.setdefault(p, len(place)) for p in parts), np.int32, len(parts))))
-        self.chars += len(text)
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of a text's passages, in order."""
+        place, parts = self.place, self.both.passages(text)
+        return np.fromiter((place.setdefault(p, len(place)) for p in parts), np.int32, len(parts))
 
     def align(self) -> None:
-        """n_a, n_b, n_groups, n_links, group text and links of every passage. One whose bytes don't come back is not `good`."""
-        n = len(self.place)
-        self.good = np.ones(n, bool)
-        self.n_a, self.n_b, self.n_groups = (np.zeros(n, np.int64) for _ in range(3))
-        self.groups: list[str] = []
-        links = []
-        passages = list(self.place)
+        """See to the passages that came since the last call. One whose bytes don't come back is not `good`."""
+        if self.done == len(self.place):
+            return
+        new = list(itertools.islice(self.place, self.done, None))
         con = database()
-        for lo in range(0, n, PASSAGES):
-            some = passages[lo : lo + PASSAGES]
-            first, second = self.both.encode(some)
-            raws = [f" {p}".encode() for p in some]
-            for ids, of in ((first, self.both.first_bytes), (second, self.both.second_bytes)):
-                if b"".join(map(of.__getitem__, itertools.chain.from_iterable(ids))) != b"".join(raws):
-                    self.good[lo : lo + len(some)] &= [b"".join([of[i] for i in x]) == raw for x, raw in zip(ids, raws, strict=True)]
-            if not (good := self.good[lo : lo + len(some)]).all():  # the others' tokens go
-                first, second = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (first, second))
-            a, b = intervals(first, self.both.first_lengths), intervals(second, self.both.second_lengths)
-            con.register("a", a)
-            con.register("b", b)
-            texts, n_groups = group_texts(con.sql(GROUPS).to_arrow_table(), len(some), self.both.words)
-            self.groups += texts
-            hi = lo + len(some)
-            self.n_groups[lo:hi] = n_groups
-            self.n_a[lo:hi] = np.bincount(a.column("passage").to_numpy(), minlength=len(some))
-            self.n_b[lo:hi] = np.bincount(b.column("passage").to_numpy(), minlength=len(some))
-            links.append(con.sql(f"select passage + {lo} as passage, a * {PAIR} + b as pair from ({LINKS}) order by passage").to_arrow_table())
-            con.unregister("a")
-            con.unregister("b")
+        made = [self._aligned(con, new[lo : lo + PASSAGES]) for lo in range(0, len(new), PASSAGES)]
         con.close()
-        flat = pa.concat_tables(links) if links else pa.table({"passage": pa.array([], pa.int64()), "pair": pa.array([], pa.int64())})
-        self.pairs, self.links = np.unique(flat.column("pair").to_numpy(), return_inverse=True)
-        self.of = flat.column("passage").to_numpy()
-        self.n_links = np.bincount(self.of, minlength=n)
+        good, sums, groups, links = zip(*made, strict=True)
+        self.good = np.concatenate([self.good, *good])
+        self.sums = np.concatenate([self.sums, *sums], axis=1)
+        self.groups += itertools.chain.from_iterable(groups)
+        self.links = np.concatenate([self.links, *links])
+        self.ends = np.concatenate([[0], np.cumsum(self.sums[3])])
+        self.done = len(self.place)
+
+    def _aligned(self, con: duckdb.DuckDBPyConnection, some: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        first, second = self.both.encode(some)
+        raws = [f" {p}".encode() for p in some]
+        good = np.ones(len(some), bool)
+        for ids, of in ((first, self.both.first_bytes), (second, self.both.second_bytes)):
+            if b"".join(map(of.__getitem__, itertools.chain.from_iterable(ids))) != b"".join(raws):
+                good &= [b"".join([of[i] for i in x]) == raw for x, raw in zip(ids, raws, strict=True)]
+        if not good.all():  # the others' tokens go
+            first, second = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (first, second))
+        a, b = intervals(first, self.both.first_lengths), intervals(second, self.both.second_lengths)
+        con.register("a", a)
+        con.register("b", b)
+        texts, n_groups = group_texts(con.sql(GROUPS).to_arrow_table(), len(some), self.both.words)
+        links = con.sql(f"select passage, a * {PAIR} + b as pair from ({LINKS}) order by passage").to_arrow_table()
+        con.unregister("a")
+        con.unregister("b")
+        n = [np.bincount(t.column("passage").to_numpy(), minlength=len(some)) for t in (a, b, links)]
+        return good, np.stack([n[0], n[1], n_groups, n[2]]), texts, links.column("pair").to_numpy()
+
+
+class Block:
+    """Texts of one block, by the numbers of their passages."""
+
+    def __init__(self, passages: Passages, number: int) -> None:
+        self.passages, self.number, self.chars = passages, number, 0
+        self.docs: list[tuple[int | None, np.ndarray | None]] = []
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        self.docs.append((doc_id, self.passages.numbers(text) if text else None))
+        self.chars += len(text or "")
 
     def rows(self) -> Iterator[dict]:
         """The block's rows of _SCHEMA."""
-        self.align()
-        each = np.stack([self.n_a, self.n_b, self.n_groups, self.n_links])
-        used = [np.zeros(0, np.int32)]
-        for doc_id, parts in self.docs:
-            if parts is None or not self.good[parts].all():
+        known = self.passages
+        known.align()
+        whole = [parts is not None and bool(known.good[parts].all()) for _, parts in self.docs]
+        used = np.concatenate([np.zeros(0, np.int32), *(parts for (_, parts), ok in zip(self.docs, whole, strict=True) if ok)])
+        # the block's own numbers of passages, and of their pairs
+        freq = np.bincount(used, minlength=len(known.place))
+        mine = np.flatnonzero(freq)
+        number = np.zeros(len(freq), np.int32)
+        number[mine] = np.arange(len(mine), dtype=np.int32)
+        for (doc_id, parts), ok in zip(self.docs, whole, strict=True):
+            if not ok:
                 yield {"kind": "text", "doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
                 continue
-            used.append(parts)
-            text = ";".join(map(self.groups.__getitem__, parts.tolist()))
-            sums = dict(zip(("n_a", "n_b", "n_groups", "n_links"), each[:, parts].sum(axis=1).tolist(), strict=True))
-            yield {"kind": "text", "doc_id": doc_id, **sums, "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "items": parts}
-        freq = np.bincount(np.concatenate(used), minlength=len(self.place))
-        counts = np.bincount(self.links, weights=freq[self.of], minlength=len(self.pairs)).astype(np.int64) if len(self.pairs) else np.zeros(0, np.int64)
-        for lo in range(0, len(self.pairs), ROW_ITEMS):
-            yield {"kind": "pairs", "first": lo, "items": self.pairs[lo : lo + ROW_ITEMS], "counts": counts[lo : lo + ROW_ITEMS]}
+            text = ";".join(map(known.groups.__getitem__, parts.tolist()))
+            sums = dict(zip(("n_a", "n_b", "n_groups", "n_links"), known.sums[:, parts].sum(axis=1).tolist(), strict=True))
+            yield {"kind": "text", "doc_id": doc_id, **sums, "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "items": number[parts]}
+        sizes = known.sums[3][mine]
+        ends = np.cumsum(sizes)
+        links = known.links[np.repeat(known.ends[mine] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        pairs, links = np.unique(links, return_inverse=True)
+        counts = np.bincount(links, weights=np.repeat(freq[mine], sizes), minlength=len(pairs)).astype(np.int64)
+        for lo in range(0, len(pairs), ROW_ITEMS):
+            yield {"kind": "pairs", "first": lo, "pairs": pairs[lo : lo + ROW_ITEMS], "counts": counts[lo : lo + ROW_ITEMS]}
         # links of passages lo to hi as numbers of pairs, with the links of each
-        for lo in range(0, len(self.place), ROW_ITEMS):
-            hi = min(lo + ROW_ITEMS, len(self.place))
-            a, b = np.searchsorted(self.of, [lo, hi])
-            yield {"kind": "links", "first": lo, "items": self.links[a:b], "counts": self.n_links[lo:hi]}
+        for lo in range(0, len(mine), ROW_ITEMS):
+            part = sizes[lo : lo + ROW_ITEMS]
+            yield {"kind": "links", "first": lo, "items": links[ends[lo] - sizes[lo] :][: part.sum()], "counts": part}
 
 
 def _batch(rows: list[dict], number: int) -> pa.RecordBatch:
@@ -232,20 +254,22 @@ def _blocks(byte_model: str, piece_model: str, batches: Iterator[pa.RecordBatch]
         rows, items = [], 0
         for row in block.rows():
             rows.append(row)
-            items += len(row.get("items", ())) if row.get("items") is not None else 1
+            items += 1 + len(row.get("items", ()))
             if items > 1_000_000 or len(rows) > 4096:
                 yield _batch(rows, block.number)
                 rows, items = [], 0
         yield _batch(rows, block.number)
 
-    block = Block(both, base)
+    passages = Passages(both)
+    block = Block(passages, base)
     for batch in slices(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
             if block.docs and block.chars + len(text or "") > most:
                 yield from out(block)
                 made += 1
-                block = Block(both, base + made)
+                passages = passages if len(passages.place) <= MOST_PASSAGES else Passages(both)
+                block = Block(passages, base + made)
             block.add(doc_id, text)
     yield from out(block)
 
@@ -258,7 +282,7 @@ def blocks(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIE
 def pair_counts(made: DataFrame) -> DataFrame:
     """pair, a, b, count (of links over all texts) and best (whether it is the highest of its b). A b has at most as many pairs
     as the first tokenizer has ids."""
-    partial = made.filter("kind = 'pairs'").select(F.explode(F.arrays_zip("items", "counts")).alias("x")).select(F.col("x.items").alias("pair"), F.col("x.counts").alias("n")).filter("n > 0")
+    partial = made.filter("kind = 'pairs'").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     total = partial.groupBy("pair").agg(F.sum("n").alias("count"))
     total = total.select("pair", F.floor(F.col("pair") / PAIR).cast("long").alias("a"), (F.col("pair") % PAIR).alias("b"), "count")
     top = total.groupBy("b").agg(F.max("count").alias("top"))
@@ -281,8 +305,7 @@ def _add_up(made: pa.Table, scored: pa.Table) -> pa.Table:
         items, sizes = (kinds["links"].column(c)[k].values.to_numpy() for c in ("items", "counts"))
         ends = np.concatenate([[0], np.cumsum(sizes)])
         for values, to in ((best, per_best), (count, per_count)):
-            # pairs of passages that stand in no whole text have no count
-            run = np.concatenate([[0], np.cumsum(np.where(items < len(values), values[np.minimum(items, len(values) - 1)], 0) if len(values) else np.zeros(len(items), np.int64))])
+            run = np.concatenate([[0], np.cumsum(values[items])])
             to.append(run[ends[1:]] - run[ends[:-1]])
     per_best, per_count = np.concatenate(per_best), np.concatenate(per_count)
     texts = kinds["text"]
@@ -294,10 +317,10 @@ def _add_up(made: pa.Table, scored: pa.Table) -> pa.Table:
 def align(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, most: int = BLOCK_CHARS) -> DataFrame:
     """Per text its tokens, groups and links, how many links are their b's most frequent, and the sum of their counts."""
     made = cut(blocks(docs, byte_model, piece_model, most), "zstd")
-    own = made.filter("kind = 'pairs'").select("block", "first", F.posexplode(F.arrays_zip("items", "counts")).alias("i", "x"))
-    own = own.select(F.col("block").alias("in_block"), (F.col("first") + F.col("i")).alias("at"), F.col("x.items").alias("pair"))
+    own = made.filter("kind = 'pairs'").select("block", "first", F.posexplode("pairs").alias("i", "pair"))
+    own = own.select(F.col("block").alias("in_block"), (F.col("first") + F.col("i")).alias("at"), "pair")
     scored = own.join(pair_counts(made), "pair").select("in_block", "at", "count", "best")
-    return made.filter("kind != 'pairs'").groupBy("block").cogroup(scored.groupBy("in_block")).applyInArrow(_add_up, _RESULT_DDL)
+    return made.filter("kind != 'pairs'").drop("pairs").groupBy("block").cogroup(scored.groupBy("in_block")).applyInArrow(_add_up, _RESULT_DDL)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

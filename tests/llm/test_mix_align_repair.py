@@ -134,10 +134,10 @@ def test_alignment(spark, most):
 
 def test_group_text_is_the_stated_form(spark):
     df = spark.createDataFrame([(1, "hello unusualness")], "doc_id long, text string")
-    block = alignment.Block(alignment.tokenizers(), 0)
-    block.add(1, "hello unusualness")
-    block.align()
-    text = ";".join(block.groups)
+    passages = alignment.Passages(alignment.tokenizers())
+    passages.numbers("hello unusualness")
+    passages.align()
+    text = ";".join(passages.groups)
     assert re.fullmatch(r"\d+(,\d+)*\|\d+(,\d+)*(;\d+(,\d+)*\|\d+(,\d+)*)*", text)
     assert alignment.align(df).first().groups_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
