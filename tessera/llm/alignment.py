@@ -121,8 +121,8 @@ select b.passage, a.id as a, b.id as b from b asof join a on b.s >= a.s where b.
 #: Tokens of both sides with their group: the common ends before.
 GROUPS = """
 with ends as (select a.e from a semi join b on a.e = b.e),
-a_in as (select passage, 0 as side, id, s, coalesce(sum(cast(ends.e is not null as int)) over (order by s rows between unbounded preceding and 1 preceding), 0) as g from a left join ends on a.e = ends.e),
-b_in as (select passage, 1 as side, id, s, coalesce(sum(cast(ends.e is not null as int)) over (order by s rows between unbounded preceding and 1 preceding), 0) as g from b left join ends on b.e = ends.e)
+a_in as (select passage, 0 as side, id, s, cast(coalesce(sum(cast(ends.e is not null as int)) over (order by s rows between unbounded preceding and 1 preceding), 0) as bigint) as g from a left join ends on a.e = ends.e),
+b_in as (select passage, 1 as side, id, s, cast(coalesce(sum(cast(ends.e is not null as int)) over (order by s rows between unbounded preceding and 1 preceding), 0) as bigint) as g from b left join ends on b.e = ends.e)
 select passage, side, id, g from (select * from a_in union all select * from b_in) order by g, side, s
 """
 
@@ -146,12 +146,20 @@ def group_texts(groups: pa.Table, n: int, words: list[str]) -> tuple[list[str],
     return out, np.bincount(passage[np.append(True, new | other)], minlength=n)
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        out = self[key] = len(self)
+        return out
+
+
 class Passages:
     """Different passages that a task has seen, and what DuckDB tells of each: n_a, n_b, n_groups, n_links, group text, links."""
 
     def __init__(self, both: Tokenizers) -> None:
         self.both, self.done = both, 0
-        self.place: dict[str, int] = {}
+        self.place = _Numbers()
         self.good = np.zeros(0, bool)
         #: Rows: n_a, n_b, n_groups, n_links.
         self.sums = np.zeros((4, 0), np.int64)
@@ -160,8 +168,7 @@ class Passages:
 
     def numbers(self, text: str) -> np.ndarray:
         """The numbers of a text's passages, in order."""
-        place, parts = self.place, self.both.passages(text)
-        return np.fromiter((place.setdefault(p, len(place)) for p in parts), np.int32, len(parts))
+        return np.array(list(map(self.place.__getitem__, self.both.passages(text))), np.int32)
 
     def align(self) -> None:
         """See to the passages that came since the last call. One whose bytes don't come back is not `good`."""
