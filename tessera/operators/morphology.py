@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import cut, drop
@@ -140,26 +143,70 @@ def reconstruct(pixels: DataFrame, mask: str, marker: str, conn: int = 8) -> Dat
     return out
 
 
-def _nearest_off(mask: DataFrame, along: str, across: str) -> Column:
-    """Distance along one axis to the nearest off pixel."""
-    w = Window.partitionBy("tile", across).orderBy(along)
-    at = F.when(~F.col("on"), F.col(along))
-    back = F.col(along) - F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col(along)
-    return F.least(back, ahead)
+#: Instead of a squared distance where a column has no off pixel.
+_NONE = 1 << 40
+
+
+def _least_parabola(x: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """For each place of a row, the least of (x - x')^2 + g2(x'): the lower envelope of the row's parabolas. The place that
+    gives the least moves right with x, so the middle place is solved first and halves what is left for either side; all
+    places of a level are solved together."""
+    n = len(x)
+    best = np.zeros(n, np.int64)  # the place whose parabola is least
+    out = np.empty(n, np.int64)
+    step = 1 << max(n - 1, 0).bit_length()
+    while step:
+        todo = np.arange(step - 1, n, 2 * step)
+        low = np.where(todo - step >= 0, best[np.maximum(todo - step, 0)], 0)
+        high = np.where(todo + step < n, best[np.minimum(todo + step, n - 1)], n - 1)
+        # where a level above has not reached the end of the row, what lies right of it is open
+        sizes = high - low + 1
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(todo) else todo
+        if len(todo):
+            ask = np.repeat(low - starts, sizes) + np.arange(sizes.sum())
+            cost = (np.repeat(x[todo], sizes) - x[ask]) ** 2 + g2[ask]
+            least = np.minimum.reduceat(cost * n + ask, starts)
+            best[todo], out[todo] = least % n, least // n
+        step //= 2
+    return out
+
+
+def _rows_of_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixels of whole rows in order, with d2 in place of g. A row may go on in the next batch."""
+    kept: pa.Table | None = None
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        tile, y, x = (table.column(c).to_numpy() for c in ("tile", "y", "x"))
+        g2 = table.column("g2").fill_null(_NONE).to_numpy()
+        borders = [0, *(np.flatnonzero((tile[1:] != tile[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
+        d2 = np.concatenate([_least_parabola(x[a:b].astype(np.int64), g2[a:b]) for a, b in zip(borders, borders[1:], strict=False)])
+        return pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("tile", "y", "x")] + [pa.array(d2, pa.int64(), mask=d2 >= _NONE)], names=["tile", "y", "x", "d2"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([kept, table]) if kept is not None else table
+        if not table.num_rows:
+            continue
+        last = [table.column(c)[-1].as_py() for c in ("tile", "y")]
+        begins = pa.compute.index(pa.compute.and_(pa.compute.equal(table.column("tile"), last[0]), pa.compute.equal(table.column("y"), last[1])), True).as_py()
+        if begins:
+            yield solved(table.slice(0, begins).combine_chunks())
+        kept = table.slice(begins).combine_chunks()
+    if kept is not None and kept.num_rows:
+        yield solved(kept)
 
 
 def squared_distance(mask: DataFrame) -> DataFrame:
     """tile, y, x, d2: squared Euclidean distance to the nearest off pixel of the tile; null in tiles that are all on.
 
-    Each pixel knows the distance `g` to the nearest off pixel in its column. In a row, the answer is the least of
-    (x - x')^2 + g(x')^2. A pixel asks only columns nearer than the distance that it has along its row or column already,
-    so the join's rows grow with that distance instead of the tile's width."""
-    g = mask.select("tile", "y", "x", "on", _nearest_off(mask, "y", "x").alias("g"), _nearest_off(mask, "x", "y").alias("h"))
-    wide = F.max("x").over(Window.partitionBy("tile")) - F.min("x").over(Window.partitionBy("tile"))
-    reach = F.when(F.col("on"), F.coalesce(F.least("g", "h"), wide)).otherwise(0)
-    asks = g.select("tile", "y", "x", reach.alias("reach")).select("tile", "y", "x", F.explode(F.sequence(F.col("x") - F.col("reach"), F.col("x") + F.col("reach"))).alias("at"))
-    there = g.select("tile", "y", F.col("x").alias("at"), "g")
-    d2 = F.pow(F.col("x") - F.col("at"), 2) + F.pow("g", 2)
-    found = asks.join(there, ["tile", "y", "at"], "left").groupBy("tile", "y", "x").agg(F.min(d2).cast("long").alias("d2"))
-    return found
+    A window over columns tells each pixel the distance g to the nearest off pixel above or below. In a row the answer is the
+    lower envelope of the parabolas (x - x')^2 + g(x')^2, solved row by row as sorted rows stream through a task: as many rows
+    out as in, whatever the objects' width, and one row of a tile in memory."""
+    w = Window.partitionBy("tile", "x").orderBy("y")
+    at = F.when(~F.col("on"), F.col("y"))
+    back = F.col("y") - F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("y")
+    g = mask.select("tile", "y", "x", F.least(back, ahead).cast("long").alias("g")).select("tile", "y", "x", (F.col("g") * F.col("g")).alias("g2"))
+    kinds = dict(g.dtypes)
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in ("tile", "y", "x")), "d2 long"])
+    return g.repartition("tile", "y").sortWithinPartitions("tile", "y", "x").mapInArrow(_rows_of_distances, out)

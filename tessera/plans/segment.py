@@ -5,7 +5,7 @@ A tile that is mostly background is left out. In the others, valleys of red (inv
 taken from a high limit on and widened to a low one; red cells go; holes are filled and thin parts opened; large objects are
 parted where the distance to their edge has several deep basins; and what has the area of a nucleus is labelled.
 
-Dividing lines belong to the basin of the greater name; the tile's border doesn't count as background for the distance.
+Dividing lines are taken from the basin of the greater name; the tile's border doesn't count as background for the distance.
 An empty table gives no objects and no outcomes; ties and repeated rows don't arise, as a pixel has one row.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from ..operators import basins, regions
+from ..operators import basins, flooding, regions
 from ..operators.morphology import dilate, disc, octagon, opened, reconstruct, squared_distance
 from ..operators.staging import cut, drop
 
@@ -86,17 +86,24 @@ def candidates(pixels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return wide.select(*_AT).join(red_cells(pixels, limits), _AT, "left_anti")
 
 
-def separate(grid: DataFrame, mask: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """tile, y, x: the mask's large objects, widened by a pixel and parted along the lines between their deep basins."""
+def separate(pixels: DataFrame, mask: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """tile, y, x: the mask's large objects, widened by a pixel, flooded from their deep basins and parted along the lines
+    between these. The colours flood, and what lies around an object is background with no colour, so a line runs along its
+    edge too and takes the pixel again."""
     large = regions.by_area(regions.label(mask.select(*_AT, F.lit(True).alias("on")), 8), limits.large)
-    big = cut(dilate(_on(grid, large).select(*_AT, F.col("on").cast("int").alias("v")), "v", disc(1)).select(*_AT, (F.col("v") == 1).alias("on")))
+    big = cut(dilate(_on(pixels, large).select(*_AT, F.col("on").cast("int").alias("v")), "v", disc(1)).select(*_AT, (F.col("v") == 1).alias("on")))
     far = squared_distance(big).join(big.filter("on"), _AT, "left_semi").select(*_AT, F.sqrt(F.coalesce("d2", F.lit(1)).cast("double")).alias("d"), "d2")
     # basins less deep than a pixel are filled; pixels that touch the background keep their height
     far = cut(far.select(*_AT, "d", F.when(F.col("d2") <= 2, F.col("d")).otherwise(F.col("d") - 1.0).alias("less")))
     flat = reconstruct(far, "d", "less", 8).select(*_AT, F.negative("value").alias("v"))
-    found = cut(basins.basins(flat, "v", 8))
-    out = cut(big.filter("on").select(*_AT).join(basins.dividing_lines(found, 8), _AT, "left_anti"))
-    drop(big, far, found)
+    deep = basins.regional(flat, "v", 8, maxima=False).select(*_AT, F.col("label").alias("marker"))
+    # background pixels beside an object are roots of one name; others can't reach an object but through these
+    edge = dilate(big.select(*_AT, F.col("on").cast("int").alias("v")), "v", disc(1)).filter("v = 1").join(big, _AT)
+    colours = [F.when(F.col("on"), F.col(c)).otherwise(0).alias(c) for c in "bgr"]
+    marked = edge.join(pixels, _AT).join(deep, _AT, "left").select(*_AT, *colours, F.when(F.col("on"), F.col("marker")).otherwise(F.lit(flooding.BACKGROUND)).alias("marker"))
+    lined = flooding.closed_lines(flooding.lines(flooding.flood(marked, flooding.apart(["b", "g", "r"]))))
+    out = cut(lined.filter((F.col("basin") != flooding.BACKGROUND) & ~F.col("line")).select(*_AT))
+    drop(big, far)
     return out
 
 

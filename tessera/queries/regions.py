@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import basins, morphology, regions
-from .pixels import _PX, _gray
+from ..operators import basins, flooding, morphology, regions
+from .pixels import _PX, _gray, pixels
 
 # A pixel is on at LEVEL or more, and a seed at SEED or more.
 LEVEL, SEED = 128, 180
@@ -67,6 +67,12 @@ def mor_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basins.basins(_gray(spark, sf_dir), "gray", 8)
 
 
+def mor_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minima of gray flood the colours; with dividing lines."""
+    colours = pixels(spark, sf_dir).select("tile", "y", "x", "b", "g", "r")
+    return flooding.watershed(_gray(spark, sf_dir).select("tile", "y", "x", "gray").join(colours, ["tile", "y", "x"]), "gray", ["b", "g", "r"])
+
+
 def cc_fill_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = _mask(spark, sf_dir)
     return regions.fill_from(mask, mask.filter("y = 3 and x = 3"), 4)
@@ -91,7 +97,7 @@ def _widest(mask: str, marker: str) -> str:
 
 
 _ON, _OFF = f"gray >= {LEVEL}", f"gray < {LEVEL}"
-QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct, mor_maxima, mor_hmin, mor_basins, cc_fill_seeds)}
+QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct, mor_maxima, mor_hmin, mor_basins, mor_watershed, cc_fill_seeds)}
 _FLAT = """, n8 as materialized (select a.tile, a.node as p, a.gray as v, b.node as r, b.gray as u from o a join o b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.node != b.node),
   reach as (select tile, node as p, node as r from o union select n.tile, reach.p, n.r from reach join n8 n on n.tile = reach.tile and n.p = reach.r and n.u = n.v),
   f as materialized (select tile, p, min(r) as label from reach group by all) """
@@ -104,6 +110,20 @@ ORACLE_SQL = {
       way as (select distinct tile, label, label as at from f union select way.tile, way.label, dn.nxt from way join dn on dn.tile = way.tile and dn.label = way.at),
       root as (select way.tile, way.label, way.at from way anti join dn on dn.tile = way.tile and dn.label = way.at)
       select o.tile, o.y, o.x, root.at as basin from o join f on o.tile = f.tile and o.node = f.p join root on root.tile = f.tile and root.label = f.label""",
+    # links in the order of their weights, folded over a tile's list of parts: two parts join unless both have a root (positive)
+    "mor_watershed": _ALL + """, bad as (select distinct f.tile, f.label from f join n8 on n8.tile = f.tile and n8.p = f.p and n8.u < n8.v),
+      m as materialized (select o.tile, o.y, o.x, o.node, p.b, p.g, p.r, case when (f.tile, f.label) not in (select (tile, label) from bad) then f.label + 1 else -1 - (o.y * 8 + o.x) end as part
+        from o join f on o.tile = f.tile and o.node = f.p join p on p.tile = o.tile and p.y = o.y and p.x = o.x),
+      k as (select a.tile, list([a.y * 8 + a.x + 1, c.y * 8 + c.x + 1]::bigint[] order by greatest(abs(a.b - c.b), abs(a.g - c.g), abs(a.r - c.r)), a.node, c.node) as links
+        from m a join m c on a.tile = c.tile and ((c.y = a.y + 1 and c.x = a.x) or (c.y = a.y and c.x = a.x + 1)) group by a.tile),
+      c as (select tile, list(part::bigint order by node) as parts from m group by tile),
+      fold as (select tile, list_reduce(list_prepend(parts, links), lambda c, l: case when c[l[1]] > 0 and c[l[2]] > 0 then c
+        else list_transform(c, lambda v: case when v = c[l[1]] or v = c[l[2]] then case when c[l[1]] > 0 then c[l[1]] when c[l[2]] > 0 then c[l[2]] else least(c[l[1]], c[l[2]]) end else v end) end) as parts from c join k using (tile)),
+      b as materialized (select m.tile, m.y, m.x, fold.parts[m.y * 8 + m.x + 1] - 1 as basin from m join fold using (tile)),
+      i as materialized (select a.tile, a.y, a.x, a.basin, coalesce(min(c.basin) < a.basin, false) as line from b a join b c on a.tile = c.tile and abs(a.y - c.y) + abs(a.x - c.x) <= 1 group by a.tile, a.y, a.x, a.basin)
+      select i.tile, i.y, i.x, i.basin, i.line or coalesce(u.line and not i.line and (coalesce(not ul.line and l.line, false) or coalesce(not ur.line and r.line, false)), false) as line
+      from i left join i u on u.tile = i.tile and u.y = i.y - 1 and u.x = i.x left join i l on l.tile = i.tile and l.y = i.y and l.x = i.x - 1 left join i r on r.tile = i.tile and r.y = i.y and r.x = i.x + 1
+      left join i ul on ul.tile = i.tile and ul.y = i.y - 1 and ul.x = i.x - 1 left join i ur on ur.tile = i.tile and ur.y = i.y - 1 and ur.x = i.x + 1""",
     "cc_label": _reach(_ON, 8) + "select tile, y, x, label from l",
     "cc_label4_numbered": _reach(_ON, 4) + "select tile, y, x, label, dense_rank() over (partition by tile order by label)::int as number from l",
     "cc_boxes": _reach(_ON, 8) + "select tile, label, count(*) as area, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y from l group by tile, label having count(*) >= 3 and count(*) < 30",
