@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import learning, logs, objects, pixels, processes, regions, rollups, small, tables
+from .queries import learning, logs, objects, pixels, processes, regions, rollups, shapes, small, tables
 
-MODULES = (rollups, logs, processes, pixels, regions, objects, learning, tables, small)
+MODULES = (rollups, logs, processes, pixels, regions, objects, shapes, learning, tables, small)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
