@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges, outlines, regions
-from ..plans import hulls
+from ..plans import fourier, hulls
 from .pixels import _PX, _gray
 from .regions import _ON, _mask, _reach
 
 # Limits of the edges.
 LOW, HIGH, APERTURE = 70, 90, 5
+# Places around an outline, and borders between the bands of its spectrum.
+PLACES, BANDS = 32, (2, 4, 8)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,13 @@ def prj_sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.sobel(_gray(spark, sf_dir), "gray", 3)
 
 
-QUERIES = {f.__name__: f for f in (cc_contours, cc_contour_areas, fea_polygons, fea_hull, fea_canny, prj_sobel)}
+def fea_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape descriptors of every outline."""
+    d = fourier.descriptors(outlines.rings(_labels(spark, sf_dir)), ["tile", "label", "ring"], PLACES, BANDS)
+    return d.select("tile", "label", "ring", *(F.round(F.col("descriptors")[i], 5).alias(f"f{i}") for i in range(len(BANDS) + 1)))
+
+
+QUERIES = {f.__name__: f for f in (cc_contours, cc_contour_areas, fea_polygons, fea_hull, fea_canny, prj_sobel, fea_fourier)}
 
 _L8 = _reach(_ON, 8)
 _STRIDE = regions.STRIDE
@@ -106,6 +114,14 @@ ORACLE_SQL = {
     "cc_contours": _RINGS + "select tile, label, ring, ord, y, x from ring where turns",
     "cc_contour_areas": _RINGS + """select tile, label, cast(sum(area) as bigint) as area, cast(sum(case when area > 0 then area end) as bigint) as filled, count(*) filter (where area < 0) as holes from sz group by all""",
     "fea_polygons": _RINGS + """select tile, label, ring, area < 0 as hole, string_agg((x + 100) || ',' || (y + 50), ';' order by ord) as polygon from ring join sz using (tile, label, ring) where turns group by all""",
+    "fea_fourier": _RINGS + f""", corner as materialized (select tile, label, ring, ord, x, y, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny from ring where turns window w as (partition by tile, ring order by ord)),
+      g as materialized (select *, abs(nx - x) + abs(ny - y) as len, sum(abs(nx - x) + abs(ny - y)) over (partition by tile, ring order by ord) as upto, sum(abs(nx - x) + abs(ny - y)) over (partition by tile, ring) as total from corner),
+      pt as materialized (select tile, label, ring, j, x + (nx - x) * (j * total / {PLACES}.0::double - (upto - len)) / len as px, y + (ny - y) * (j * total / {PLACES}.0::double - (upto - len)) / len as py
+        from g, range(0, {PLACES} + 1) r(j) where (j * total >= (upto - len) * {PLACES} and j * total < upto * {PLACES}) or (j = {PLACES} and upto = total)),
+      an as (select tile, label, ring, j, atan2(round(lead(py) over w - py, 9), round(lead(px) over w - px, 9)) as a from pt window w as (partition by tile, ring order by j)),
+      cu as materialized (select *, a - first_value(a) over (partition by tile, ring order by j) as c from an where j < {PLACES}),
+      en as (select tile, label, ring, f, pow(sum(c * cos(2 * pi() * f * j / {PLACES})), 2) + pow(sum(c * sin(2 * pi() * f * j / {PLACES})), 2) as e from cu, range(0, {PLACES}) q(f) group by all)
+      select tile, label, ring, {", ".join(f"round(sum(e) filter (where f between {lo - 1} and {hi - 1}) / nullif(sum(e), 0), 5) as f{i}" for i, (lo, hi) in enumerate(zip((1, *BANDS), (*BANDS, PLACES), strict=True)))} from en group by all""",
     "fea_hull": _POINTS + """select tile, label, area, round(convex_area, 5) as convex_area, round(area / convex_area, 5) as solidity, round(convex_area - area, 5) as convex_deficiency, 1 - coalesce(holes, 0) as euler,
       round(2 * sqrt(area / pi()), 5) as diameter, round(case when dd < 1e-9 then 0 else degrees(atan2(2 * case when abs(mxy) > 1e-9 then -mxy else 0 end, mxx - myy) / 2) end, 5) as orientation,
       round(1 - sqrt(greatest(mxx + myy - dd, 0) / (mxx + myy + dd)), 5) as elongation from ms join hull using (tile, label) left join hn using (tile, label)""",
