@@ -35,10 +35,15 @@ def resample(log: DataFrame, interval: int, key: str = "eventType") -> DataFrame
     return rows.groupBy(key, "bucket").agg(F.sum(F.col("attribute") * overlap / (F.col("endT") - F.col("startT") + 1)).alias("value"))
 
 
-def collapse_runs(log: DataFrame, is_start) -> DataFrame:
-    """Consecutive events of a process from one start event up to the next become one event."""
-    w = Window.partitionBy("pid").orderBy("startT", "seq")
-    rows = log.withColumn("island", F.sum(is_start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def collapse_runs(log: DataFrame, is_start: Column, width: int = 1 << 36) -> DataFrame:
+    """Consecutive events of a process from one start event up to the next become one event. A process' time is cut into
+    slices of `width`; starts are counted up within a slice, from the count of all earlier ones, so a process with very many
+    events is as many tasks as slices, and only one row a slice goes through the window over a process."""
+    sliced = log.withColumns({"slice": F.floor(F.col("startT") / width), "begins": is_start.cast("int")})
+    per = sliced.groupBy("pid", "slice").agg(F.sum("begins").alias("n"))
+    before = per.select("pid", "slice", (F.sum("n").over(Window.partitionBy("pid").orderBy("slice")) - F.col("n")).alias("before"))
+    inside = F.sum("begins").over(Window.partitionBy("pid", "slice").orderBy("startT", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sliced.withColumn("inside", inside).join(before, ["pid", "slice"]).withColumn("island", F.col("inside") + F.col("before"))
     return rows.groupBy("pid", "island").agg(F.min("startT").alias("startT"), F.max("endT").alias("endT"), F.max_by("eventName", F.struct("startT", "seq")).alias("last_event"), F.count("*").alias("n_events"))
 
 
@@ -57,16 +62,26 @@ def filter_events(log: DataFrame, fields: dict[str, list], how: str = "AND") ->
     return log.filter(out)
 
 
-def throughput(resampled: DataFrame, interval: int, key: str = "eventType", span: int = 1_000_000) -> DataFrame:
+def throughput(resampled: DataFrame, interval: int, key: str = "eventType", span: int = 1_000_000, slice_buckets: int = 4096) -> DataFrame:
     """Sliding throughput of resampled data (key, bucket, value): the sum over a centred window of `span`, in 2^30 units;
-    peak, mean and sample deviation per key over all buckets from 1 to the last one, empty ones included. A key's rows are
-    as many as the buckets, whatever the events."""
+    peak, mean and sample deviation per key over all buckets from 1 to the last one, empty ones included.
+
+    Time is cut into slices of `slice_buckets`. A bucket near a slice's end also goes to the next slice, where it counts in
+    sums but gives no rate of its own, so few keys over a long time are still many tasks; the slices' counts, sums and sums
+    of squares are merged at the end. A slice makes its own grid of buckets."""
     k = round(span / interval)
-    last = resampled.groupBy().agg(F.max("bucket").alias("last"))
-    grid = resampled.select(key).distinct().join(F.broadcast(last)).select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("bucket"))
-    w = Window.partitionBy(key).orderBy("bucket").rowsBetween(-(k - 1 - k // 2), k // 2)
-    dense = grid.join(resampled.select(key, F.col("bucket").cast("long").alias("bucket"), "value"), [key, "bucket"], "left").fillna(0.0, ["value"])
-    rate = dense.withColumn("rate", F.sum("value").over(w) / float(1 << 30))
+    back, ahead = k - 1 - k // 2, k // 2
+    last = resampled.groupBy().agg(F.max("bucket").cast("long").alias("last"))
+    keys = resampled.select(key).distinct().join(F.broadcast(last))  # one row
+    slices = keys.select(key, "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / slice_buckets))).alias("slice"))
+    low, high = F.col("slice") * slice_buckets, (F.col("slice") + 1) * slice_buckets - 1
+    grid = slices.select(key, "slice", F.explode(F.sequence(F.greatest(low - back, F.lit(1)), F.least(high + ahead, F.col("last")))).alias("bucket"))
+    at = F.col("bucket").cast("long")
+    reached = F.sequence(F.floor((at - ahead) / slice_buckets), F.floor((at + back) / slice_buckets))
+    held = resampled.select(key, at.alias("bucket"), "value", F.explode(reached).alias("slice"))
+    w = Window.partitionBy(key, "slice").orderBy("bucket").rowsBetween(-back, ahead)
+    dense = grid.join(held, [key, "slice", "bucket"], "left").fillna(0.0, ["value"])
+    rate = dense.withColumn("rate", F.sum("value").over(w) / float(1 << 30)).filter((F.col("bucket") >= low) & (F.col("bucket") <= high))
     return rate.groupBy(key).agg(F.max("rate").alias("peak"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("std"))
 
 
@@ -145,7 +160,8 @@ def replace_times(runs: DataFrame, measured: DataFrame, key: str, column: str) -
 
 def run_status(text: Column, limit: str) -> Column:
     """How a run ended, by its console text: the first rule that applies; None for a run without an error."""
-    # Patterns and their states, in order.
+    # Patterns and their states, in order. The last one takes a whole line, of more lines, that says "fail" or
+    # "error" anywhere, so a line with "error" alone is a failure too.
     signal = r"exit signal (Aborted|Terminated|Segmentation fault)"
     return (
         F.when(text.rlike(r"(?i)MPI(CH2)? ERROR"), "MPI ERROR")
@@ -153,5 +169,5 @@ def run_status(text: Column, limit: str) -> Column:
         .when(text.rlike("Invalid argument"), "INVALID ARG")
         .when(text.rlike(r"Other I/O error"), "IO ERROR")
         .when(text.rlike("(?i)exceeded"), F.lit("> " + limit))
-        .when(text.rlike(r"(?i)\n([^\n]*fail|error[^\n]*)\n"), "OTHER FAILURE")
+        .when(text.rlike(r"(?i)\n.*(fail|error).*\n"), "OTHER FAILURE")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
+from ..sources import tiles
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,7 @@ def win_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win_systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id")
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return e.withColumn("rn", rn).filter("floor(rn * 3 / 10) > floor((rn - 1) * 3 / 10)").select("label", "vec_id")
+    return tiles.sample(e, 3, 10, ["label"], "vec_id", 100)
 
 
 def join_prefix_patients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,9 +112,15 @@ def retile(pixels: DataFrame, size: int) -> DataFrame:
     return pixels.withColumns({"tile_x": at("gx"), "tile_y": at("gy")}).withColumns({"x": F.col("gx") - F.col("tile_x"), "y": F.col("gy") - F.col("tile_y")})
 
 
-def sample(rows: DataFrame, numerator: int, denominator: int, partition: list[str], order: list[str]) -> DataFrame:
-    """Every time the running share numerator / denominator of a group passes a whole number, its row is taken. Groups are
-    files or tiles; each is numbered in one window."""
-    rn = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long")
+def sample(rows: DataFrame, numerator: int, denominator: int, partition: list[str], order: str, width: int = 10_000) -> DataFrame:
+    """Every time the running share numerator / denominator of a group passes a whole number, its row is taken. `order` is a
+    whole number that no two rows of a group share. Rows are numbered in slices of `width` of it, from the counts of all
+    earlier slices, so a group with a third of all rows is many tasks."""
+    sliced = rows.withColumn("_slice", F.floor(F.col(order) / width))
+    keys = [*partition, "_slice"]
+    per = sliced.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = per.select(*keys, (F.sum("_n").over(Window.partitionBy(*partition).orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    numbered = sliced.withColumn("_inside", inside).join(before, keys).withColumn("_rn", F.col("_inside") + F.col("_before"))
     taken = F.floor(F.col("_rn") * numerator / denominator) > F.floor((F.col("_rn") - 1) * numerator / denominator)
-    return rows.withColumn("_rn", rn).filter(taken).drop("_rn")
+    return numbered.filter(taken).select(*rows.columns)
