@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted at the end of the driver."""
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written in the shared folder and read again, so that a lost executor costs no earlier round. drop() or the
     end of the driver deletes them."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from ..sources import tiles
+from ..operators.staging import fresh
+from ..sources import images, tiles
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,9 @@ _PX = """with e as (select vec_id, unnest(embedding)::double as v, generate_subs
  q as (select *, cast(least(greatest(floor(b * 0.114020904255103::double + g * 0.587043074451121::double + r * 0.298936021293776::double + 0.5), 0), 255) as int) as gray from p) """
 
 
+_PLACED = _PX + ", pl as materialized (select 'slide' || (tile % 3) as image, (tile // 3 % 4 * 8)::int as tile_x, (tile // 12 * 8)::int as tile_y, y, x, b, g, r from p) "
+
+
 def _gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).withColumn("gray", px.gray(F.col("b"), F.col("g"), F.col("r")))
 
@@ -72,6 +76,26 @@ def win_systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.sample(e, 3, 10, ["label"], "vec_id", 100)
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles as parts of images of four by any number of tiles."""
+    p = pixels(spark, sf_dir)
+    return p.select(F.concat(F.lit("slide"), F.col("tile") % 3).alias("image"), (F.floor(F.col("tile") / 3) % 4 * 8).alias("tile_x"), (F.floor(F.col("tile") / 12) * 8).alias("tile_y"), "y", "x", "b", "g", "r")
+
+
+def src_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles written as PNG and read back, within a box of one image."""
+    path = fresh(spark)
+    images.write(_placed(spark, sf_dir), path)
+    return images.read(spark, path, box=(4, 5, 30, 45), image="slide1")
+
+
+def snk_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles put together, written as TIFF pieces of 20 x 20 and read back."""
+    path = fresh(spark)
+    images.write(images.mosaic(_placed(spark, sf_dir), 20), path, kind="tif")
+    return images.read(spark, path)
+
+
 def join_prefix_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return o.groupBy(F.substring("c_name", 1, 15).alias("patient")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.stddev_pop("c_acctbal"), 4).alias("std"))
@@ -90,13 +114,18 @@ def ml_nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("vec_id").agg(F.min(F.struct("d", "label")).alias("m")).select("vec_id", F.col("m.label").alias("center"), F.round("m.d", 5).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (prj_pixels, flt_background, agg_histogram_moments, win_quartiles, agg_cooccurrence, win_gradient, win_systematic_sample, join_prefix_patients, prj_paths, ml_nearest_center)}
+QUERIES = {f.__name__: f for f in (prj_pixels, flt_background, agg_histogram_moments, win_quartiles, agg_cooccurrence, win_gradient, win_systematic_sample, src_png, snk_mosaic, join_prefix_patients, prj_paths, ml_nearest_center)}
 ORACLE_SQL = {
     "prj_pixels": _PX + """select tile, y, x, gray, 255 - r as inverted, cast(floor(g / (b + g + r + 2.220446049250313e-16) * 255.0::double) as int) as green, round(255.0::double - 255.0::double * ln(g + 1.0::double) / ln(255.0::double), 6) as density,
       (r * -0.154::double + g * 0.035::double + b * 0.549::double - 45.718::double) < (r * -0.057::double + g * -0.817::double + b * 1.170::double - 49.887::double) as foreground from q""",
     "flt_background": _PX + ", s as (select tile, avg((b > 220 and g > 220 and r > 220)::int::double) as ratio from p group by tile) select tile, round(ratio, 6) as ratio, case when ratio >= 0.99 then 'BACKGROUND' when ratio >= 0.9 then 'BACKGROUND_LIKELY' else 'CONTINUE' end as status from s",
     "agg_histogram_moments": _PX + """, h as (select tile, gray, count(*) as n from q group by all), m as (select *, n / sum(n) over (partition by tile)::double as p from h)
       select tile, round(sum(p * gray), 6) as mean, round(sqrt(greatest(sum(p * gray * gray) - sum(p * gray) * sum(p * gray), 0)), 5) as std, min(gray) as lowest, max(gray) as highest, round(-sum(p * log2(p)), 6) as entropy, round(sum(p * p), 6) as energy from m group by tile""",
+    "src_png": _PLACED + "select image, tile_x, tile_y, y, x, b, g, r from pl where image = 'slide1' and tile_x + x >= 4 and tile_x + x < 30 and tile_y + y >= 5 and tile_y + y < 45",
+    "snk_mosaic": _PLACED + """, c as (select image, max(tile_x + x) as w, max(tile_y + y) as h from pl group by image),
+      g as (select image, gx, gy from c, range(0, 4096) a(gx), range(0, 65536) b(gy) where gx <= w and gy <= h)
+      select g.image, (gx // 20 * 20)::int as tile_x, (gy // 20 * 20)::int as tile_y, (gy % 20)::int as y, (gx % 20)::int as x, coalesce(b, 255) as b, coalesce(pl.g, 255) as g, coalesce(r, 255) as r
+      from g left join pl on pl.image = g.image and pl.tile_x + pl.x = gx and pl.tile_y + pl.y = gy""",
     "win_quartiles": _PX + """, h as (select tile, gray, count(*) as n from q group by all), c as (select *, sum(n) over (partition by tile order by gray) as cum, sum(n) over (partition by tile) as total from h)
       select tile, min(case when cum >= total // 4 then gray end) as q1, min(case when cum >= total // 2 then gray end) as median, min(case when cum >= 3 * total // 4 then gray end) as q3 from c group by tile""",
     "agg_cooccurrence": _PX + ", l as (select *, cast(floor(gray * 7.0::double / 255.0::double + 1.5) as int) as i from q), j as (select *, lead(i) over (partition by tile, y order by x) as j from l) select tile, i, j, count(*) as n from j where j is not null group by all",
