@@ -7,7 +7,7 @@ steps are windows along rows and columns; only the last is a labelling."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .regions import label, select_seeded
@@ -17,7 +17,13 @@ from .staging import cut, drop
 KERNELS = {3: ((-1, 0, 1), (1, 2, 1)), 5: ((-1, -2, 0, 2, 1), (1, 4, 6, 4, 1))}
 TANGENT = 13573
 
-_ROW, _COLUMN = Window.partitionBy("tile", "y").orderBy("x"), Window.partitionBy("tile", "x").orderBy("y")
+
+def _row() -> WindowSpec:
+    return Window.partitionBy("tile", "y").orderBy("x")
+
+
+def _column() -> WindowSpec:
+    return Window.partitionBy("tile", "x").orderBy("y")
 
 
 def _held(c: str, w, d: int) -> Column:
@@ -36,8 +42,8 @@ def derivatives(gray: DataFrame, value: str, aperture: int = 3) -> DataFrame:
     """tile, y, x, dx, dy: whole numbers."""
     difference, smoothing = KERNELS[aperture]
     g = gray.select("tile", "y", "x", F.col(value).cast("long").alias("v"))
-    along = g.select("tile", "y", "x", _kernel("v", _ROW, difference).alias("d"), _kernel("v", _ROW, smoothing).alias("s"))
-    return along.select("tile", "y", "x", _kernel("d", _COLUMN, smoothing).alias("dx"), _kernel("s", _COLUMN, difference).alias("dy"))
+    along = g.select("tile", "y", "x", _kernel("v", _row(), difference).alias("d"), _kernel("v", _row(), smoothing).alias("s"))
+    return along.select("tile", "y", "x", _kernel("d", _column(), smoothing).alias("dx"), _kernel("s", _column(), difference).alias("dy"))
 
 
 def thinned(gray: DataFrame, value: str, low: float, aperture: int = 3) -> DataFrame:
@@ -45,9 +51,9 @@ def thinned(gray: DataFrame, value: str, low: float, aperture: int = 3) -> DataF
     is 0; of two equal ones the first along the row, or else the upper one, counts."""
     d = derivatives(gray, value, aperture).withColumn("m", F.abs("dx") + F.abs("dy"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    d = d.withColumns({"left": zero(F.lag("m").over(_ROW)), "right": zero(F.lead("m").over(_ROW))})
-    up = {f"up_{c}": zero(F.lag(c).over(_COLUMN)) for c in ("m", "left", "right")}
-    down = {f"down_{c}": zero(F.lead(c).over(_COLUMN)) for c in ("m", "left", "right")}
+    d = d.withColumns({"left": zero(F.lag("m").over(_row())), "right": zero(F.lead("m").over(_row()))})
+    up = {f"up_{c}": zero(F.lag(c).over(_column())) for c in ("m", "left", "right")}
+    down = {f"down_{c}": zero(F.lead(c).over(_column())) for c in ("m", "left", "right")}
     d = d.withColumns(up | down)
     m, ax, ay = F.col("m"), F.abs("dx"), F.abs("dy") * 32768
     flat, steep = ay < ax * TANGENT, ay > ax * TANGENT + ax * 65536

@@ -81,6 +81,11 @@ def higher(value: str) -> Column:
     return F.greatest(F.col(f"p.{value}"), F.col(f"q.{value}"))
 
 
+def ordered(*weights: Column) -> Column:
+    """The first weight; of links as heavy, the next one."""
+    return F.struct(*(w.alias(f"w{i}") for i, w in enumerate(weights)))
+
+
 def flood(pixels: DataFrame, weight: Column, conn: int = 4) -> DataFrame:
     """tile, y, x, basin of pixels (tile, y, x, marker: null where there is none, and what the weight of a link between p and
     q needs)."""
@@ -122,8 +127,8 @@ def closed_lines(lined: DataFrame) -> DataFrame:
 
 def watershed(pixels: DataFrame, height: str, colours: list[str], conn: int = 8) -> DataFrame:
     """tile, y, x, basin, line: the regional minima of the height (regions of conn) flood the colours along pixel sides, by the
-    greatest difference of a channel; lines as lines() and closed_lines() tell them. A basin's name is its minimum's first
+    greatest difference of a channel and, where that is equal, through the lower pass; lines as lines() and closed_lines() tell them. A basin's name is its minimum's first
     pixel in raster order."""
     low = regional(pixels, height, conn, maxima=False).select("tile", "y", "x", F.col("label").alias("marker"))
-    marked = pixels.select("tile", "y", "x", *colours).join(low, ["tile", "y", "x"], "left")
-    return closed_lines(lines(flood(marked, apart(colours))))
+    marked = pixels.select("tile", "y", "x", height, *(c for c in colours if c != height)).join(low, ["tile", "y", "x"], "left")
+    return closed_lines(lines(flood(marked, ordered(apart(colours), higher(height)))))

@@ -88,22 +88,22 @@ def candidates(pixels: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def separate(pixels: DataFrame, mask: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """tile, y, x: the mask's large objects, widened by a pixel, flooded from their deep basins and parted along the lines
-    between these. The colours flood, and what lies around an object is background with no colour, so a line runs along its
+    between these. The colours flood (where they are equal, along the middle of the objects first), and what lies around an object is background with no colour, so a line runs along its
     edge too and takes the pixel again."""
     large = regions.by_area(regions.label(mask.select(*_AT, F.lit(True).alias("on")), 8), limits.large)
     big = cut(dilate(_on(pixels, large).select(*_AT, F.col("on").cast("int").alias("v")), "v", disc(1)).select(*_AT, (F.col("v") == 1).alias("on")))
     far = squared_distance(big).join(big.filter("on"), _AT, "left_semi").select(*_AT, F.sqrt(F.coalesce("d2", F.lit(1)).cast("double")).alias("d"), "d2")
     # basins less deep than a pixel are filled; pixels that touch the background keep their height
     far = cut(far.select(*_AT, "d", F.when(F.col("d2") <= 2, F.col("d")).otherwise(F.col("d") - 1.0).alias("less")))
-    flat = reconstruct(far, "d", "less", 8).select(*_AT, F.negative("value").alias("v"))
+    flat = cut(reconstruct(far, "d", "less", 8).select(*_AT, F.negative("value").alias("v")))
     deep = basins.regional(flat, "v", 8, maxima=False).select(*_AT, F.col("label").alias("marker"))
     # background pixels beside an object are roots of one name; others can't reach an object but through these
-    edge = dilate(big.select(*_AT, F.col("on").cast("int").alias("v")), "v", disc(1)).filter("v = 1").join(big, _AT)
+    edge = dilate(big.select(*_AT, F.col("on").cast("int").alias("v")), "v", disc(1)).filter("v = 1").drop("v").join(big, _AT)
     colours = [F.when(F.col("on"), F.col(c)).otherwise(0).alias(c) for c in "bgr"]
-    marked = edge.join(pixels, _AT).join(deep, _AT, "left").select(*_AT, *colours, F.when(F.col("on"), F.col("marker")).otherwise(F.lit(flooding.BACKGROUND)).alias("marker"))
-    lined = flooding.closed_lines(flooding.lines(flooding.flood(marked, flooding.apart(["b", "g", "r"]))))
+    marked = edge.join(pixels, _AT).join(deep, _AT, "left").join(flat, _AT, "left").select(*_AT, *colours, "v", F.when(F.col("on"), F.col("marker")).otherwise(F.lit(flooding.BACKGROUND)).alias("marker"))
+    lined = flooding.closed_lines(flooding.lines(flooding.flood(marked, flooding.ordered(flooding.apart(["b", "g", "r"]), flooding.higher("v")))))
     out = cut(lined.filter((F.col("basin") != flooding.BACKGROUND) & ~F.col("line")).select(*_AT))
-    drop(big, far)
+    drop(big, far, flat)
     return out
 
 

@@ -112,9 +112,9 @@ ORACLE_SQL = {
       select o.tile, o.y, o.x, root.at as basin from o join f on o.tile = f.tile and o.node = f.p join root on root.tile = f.tile and root.label = f.label""",
     # links in the order of their weights, folded over a tile's list of parts: two parts join unless both have a root (positive)
     "mor_watershed": _ALL + """, bad as (select distinct f.tile, f.label from f join n8 on n8.tile = f.tile and n8.p = f.p and n8.u < n8.v),
-      m as materialized (select o.tile, o.y, o.x, o.node, p.b, p.g, p.r, case when (f.tile, f.label) not in (select (tile, label) from bad) then f.label + 1 else -1 - (o.y * 8 + o.x) end as part
+      m as materialized (select o.tile, o.y, o.x, o.node, o.gray, p.b, p.g, p.r, case when (f.tile, f.label) not in (select (tile, label) from bad) then f.label + 1 else -1 - (o.y * 8 + o.x) end as part
         from o join f on o.tile = f.tile and o.node = f.p join p on p.tile = o.tile and p.y = o.y and p.x = o.x),
-      k as (select a.tile, list([a.y * 8 + a.x + 1, c.y * 8 + c.x + 1]::bigint[] order by greatest(abs(a.b - c.b), abs(a.g - c.g), abs(a.r - c.r)), a.node, c.node) as links
+      k as (select a.tile, list([a.y * 8 + a.x + 1, c.y * 8 + c.x + 1]::bigint[] order by greatest(abs(a.b - c.b), abs(a.g - c.g), abs(a.r - c.r)), greatest(a.gray, c.gray), a.node, c.node) as links
         from m a join m c on a.tile = c.tile and ((c.y = a.y + 1 and c.x = a.x) or (c.y = a.y and c.x = a.x + 1)) group by a.tile),
       c as (select tile, list(part::bigint order by node) as parts from m group by tile),
       fold as (select tile, list_reduce(list_prepend(parts, links), lambda c, l: case when c[l[1]] > 0 and c[l[2]] > 0 then c
