@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -470,13 +471,31 @@ def plain_scan(text):
     joined = "".join(f"{w} " for w in words)
     every = []
     for i, (label, _, expr, priority) in enumerate(licenses.rules()):
-        for m in re.finditer(rf"(?<![^ ])(?:{expr})(?= )", joined):
+        for m in regex.finditer(rf"(?<![^ ])(?:{expr})(?= )", joined):
             first = joined[: m.start()].count(" ")
             every.append((first, first + m[0].count(" "), priority, i, label))
     every.sort(key=lambda m: (m[0], -m[1], -m[2], m[3]))
     return [(i, a, b) for k, (a, b, p, i, _) in enumerate(every) if not any(x <= a and b <= y and q >= p for x, y, q, *_ in every[:k])]
 
 
+def test_licenses_in_tagged_expressions(spark):
+    want = {"SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC": "apache-2.0,isc,mit", "under GPL v2": "gpl-2.0", "the isc and mit": "",
+            "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception": "apache-2.0", "Neither the name of the Example Corp. nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause"}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(df).orderBy("doc_id").collect()] == list(want.values())
+
+
+def test_very_many_matches(spark):
+    """Linear in the matches of a text; the groups of matches don't show."""
+    import time
+
+    df = spark.createDataFrame([(1, "mit license " * 100_000), (2, "licensed under the mit license, " * 3000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert time.time() - began < 60 and (got[1].n_base, got[1].first_word, got[1].last_word, len(got[1].found)) == (100_000, 0, 199_998, 100_000)
+    assert [(m.first, m.last) for m in got[2].found] == [(5 * i, 5 * i + 4) for i in range(3000)]
+
+
 def test_licenses_against_plain_loops(spark):
     rng = random.Random(13)
     titles = ["apache software license version 2 0", "mit license", "GNU Lesser General Public License v2.1", "general public license version 3", "BSD 3 clause license", "CC BY-SA 4.0", "gplv3", "mozilla public license 2.0",
