@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..operators import regions
 from ..operators.morphology import disc
-from ..plans import normalize, objects, segment
+from ..plans import normalize, objects, segment, vectors
 from .pixels import _PX, _gray, pixels
 from .regions import _ON, _mask, _reach
 
@@ -48,6 +48,12 @@ def fea_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.ring(_labels(spark, sf_dir), extent, 2).groupBy("tile", "label").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
 
 
+def fea_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of the objects, a row each: of nucleus and ring (two pixels wide), in the vector's order."""
+    v = vectors.object_vectors(_labels(spark, sf_dir), pixels(spark, sf_dir), 2).select("tile", "label", F.posexplode("features").alias("feature_idx", "value"))
+    return v.select("tile", "label", "feature_idx", F.round(F.col("value") + 1e-9, 4).alias("value"))
+
+
 def join_label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.overlaps(_labels(spark, sf_dir), regions.label(_mask(spark, sf_dir), 4))
 
@@ -91,7 +97,7 @@ def seg_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.join(sums, "tile", "left").select("tile", F.round("ratio", 6).alias("ratio"), "status", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_objects", "n_pixels")))
 
 
-QUERIES = {f.__name__: f for f in (seg_status, fea_morphometry, fea_intensity, agg_tile_moments, fea_texture, fea_ring, join_label_overlap, prj_stains, prj_simple, prj_opponent, nrm_target, nrm_tiles)}
+QUERIES = {f.__name__: f for f in (seg_status, fea_morphometry, fea_intensity, agg_tile_moments, fea_texture, fea_ring, fea_vector, join_label_overlap, prj_stains, prj_simple, prj_opponent, nrm_target, nrm_tiles)}
 
 _L = _reach(_ON, 8)
 _MOMENTS = "round(avg(gray), 4) as mean, min(gray) as lowest, max(gray) as highest"
@@ -144,3 +150,33 @@ ORACLE_SQL = {
     "nrm_target": _LAB + "select tile, " + ", ".join(f"round({a}_{c}, 6) as {a}_{c}" for c in normalize.CHANNELS for a in ("mean", "std")) + " from st",
     "nrm_tiles": _LAB + f", mv as (select tile, b, g, r, fg, {_MOVED} from lab left join st using (tile)), bk as (select *, {_BACK} from mv) select tile, {_RGB} from bk group by tile",
 }
+
+_WX, _WY = "(partition by tile, ch, y order by x)", "(partition by tile, ch, x order by y)"
+_SLOPE = lambda w: f"coalesce(case when lag(v) over {w} is null then lead(v) over {w} - v when lead(v) over {w} is null then v - lag(v) over {w} else (lead(v) over {w} - lag(v) over {w}) / 2.0::double end, 0)::double"
+_MO = lambda c, pre: ", ".join(
+    [f"avg({c}) as {pre}mean", f"max({c}) as {pre}highest", f"min({c}) as {pre}lowest", f"stddev_pop({c}) as {pre}std", f"floor(median({c}) + 0.5) as {pre}median",
+     f"case when var_pop({c}) > 1e-9 then (avg(pow({c}::double, 3)) - 3 * avg({c}) * avg(pow({c}::double, 2)) + 2 * pow(avg({c}), 3)) / pow(var_pop({c}), 1.5) end as {pre}skewness",
+     f"case when var_pop({c}) > 1e-9 then (avg(pow({c}::double, 4)) - 4 * avg({c}) * avg(pow({c}::double, 3)) + 6 * pow(avg({c}), 2) * avg(pow({c}::double, 2)) - 3 * pow(avg({c}), 4)) / pow(var_pop({c}), 2) end as {pre}kurtosis"])
+_HIST = lambda c, pre: f"hist_{c} as (select tile, label, part, ch, -sum(n / t * log2(n / t)) + 0.0 as {pre}entropy, sum(pow(n / t, 2)) as {pre}energy from (select *, sum(n) over (partition by tile, label, part, ch)::double as t from (select tile, label, part, ch, {c}, count(*) as n from ob group by all)) group by all)"
+_SHAPES = ORACLE_SQL["fea_morphometry"].partition("select tile, label, area, min_x")[0].partition(" s as (")[2]
+_VECTOR = [*(f"shape.{n}" for n in ("area", "perimeter", "eccentricity", "circularity", "major_axis", "minor_axis", "extent")), *(f"n.{n}" for n in (*vectors.INTENSITY, *(f"d_{g}" for g in vectors.GRADIENT), *vectors.EDGES)),
+           *(f"{c}.{'mean - ' + c + '.median' if n == 'mean_less_median' else n}" for c in ("cg", "ch", "ce") for n in (*vectors.RING_INTENSITY, *(f"d_{g}" for g in vectors.GRADIENT), *vectors.EDGES))]
+ORACLE_SQL["fea_vector"] = _L + f""", s as ({_SHAPES},
+  shape as (select tile, label, area, perimeter, sqrt(abs(major_axis * major_axis - minor_axis * minor_axis)) / major_axis as eccentricity, 4 * pi() * area / (perimeter * perimeter) as circularity, major_axis, minor_axis,
+    area / ((max_x - min_x + 1) * (max_y - min_y + 1))::double as extent from a join pm using (tile, label)),
+  sta as (select tile, y, x, {_STAIN} from p),
+  pl as materialized (select tile, y, x, 'g' as ch, gray as v from q union all select tile, y, x, 'h', h from sta union all select tile, y, x, 'e', e from sta),
+  d1 as materialized (select *, {_SLOPE(_WX)} as sx, {_SLOPE(_WY)} as sy, coalesce(lead(v) over {_WX}, v) - coalesce(lag(v) over {_WX}, v) as d, coalesce(lag(v) over {_WX}, v) + 2 * v + coalesce(lead(v) over {_WX}, v) as sm from pl),
+  d2 as materialized (select tile, y, x, ch, v, cast({_U8("sqrt(sx * sx + sy * sy)")} as int) as gd, coalesce(lag(d) over {_WY}, d) + 2 * d + coalesce(lead(d) over {_WY}, d) as dx, coalesce(lead(sm) over {_WY}, sm) - coalesce(lag(sm) over {_WY}, sm) as dy from d1),
+  d3 as materialized (select *, abs(dx) + abs(dy) as m from d2), d4 as materialized (select *, coalesce(lag(m) over {_WX}, 0) as lf, coalesce(lead(m) over {_WX}, 0) as rt from d3),
+  d5 as materialized (select *, coalesce(lag(m) over {_WY}, 0) as um, coalesce(lag(lf) over {_WY}, 0) as ul, coalesce(lag(rt) over {_WY}, 0) as ur, coalesce(lead(m) over {_WY}, 0) as dm, coalesce(lead(lf) over {_WY}, 0) as dl, coalesce(lead(rt) over {_WY}, 0) as dr from d4),
+  th as materialized (select * from d5 where m > {vectors.LOW} and case when abs(dy) * 32768 < abs(dx) * 13573 then m > lf and m >= rt when abs(dy) * 32768 > abs(dx) * 13573 + abs(dx) * 65536 then m > um and m >= dm
+    when (dx < 0) != (dy < 0) then m > ur and m > dl else m > ul and m > dr end),
+  kept as (select tile, ch, y, x from th where m > {vectors.HIGH} union select th.tile, th.ch, th.y, th.x from kept k join th on th.tile = k.tile and th.ch = k.ch and abs(th.y - k.y) <= 1 and abs(th.x - k.x) <= 1),
+  rg as (from (select distinct l.tile, l.label, q.y, q.x from l join q on l.tile = q.tile and (l.y - q.y) * (l.y - q.y) + (l.x - q.x) * (l.x - q.x) <= 4) z anti join l using (tile, label, y, x)),
+  rows_of as (select tile, label, y, x, 'n' as part from l union all select tile, label, y, x, 'c' from rg),
+  ob as materialized (select o.tile, o.label, o.part, d2.ch, d2.v, d2.gd, kept.tile is not null as edge from rows_of o join d2 on d2.tile = o.tile and d2.y = o.y and d2.x = o.x left join kept on kept.tile = o.tile and kept.ch = d2.ch and kept.y = o.y and kept.x = o.x),
+  {_HIST('v', '')}, {_HIST('gd', 'd_')},
+  st as materialized (select * from (select tile, label, part, ch, {_MO('v', '')}, {_MO('gd', 'd_')}, count(*) filter (where edge) as canny_area, 255.0::double * count(*) filter (where edge) / count(*) as mean_canny from ob group by all) join hist_v using (tile, label, part, ch) join hist_gd using (tile, label, part, ch))
+  select tile, label, unnest(range(74))::int as feature_idx, round(1e-9::double + unnest([{", ".join(f"({c})::double" for c in _VECTOR)}]), 4) as value
+  from shape join (from st where part = 'n' and ch = 'g') n using (tile, label) {" ".join(f"left join (from st where part = 'c' and ch = '{c}') c{c} using (tile, label)" for c in vectors.CHANNELS)}"""
