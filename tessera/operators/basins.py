@@ -32,6 +32,15 @@ def drop_shallow_minima(pixels: DataFrame, value: str, depth: float, conn: int =
     return reconstruct(up, "m", "k", conn).select("tile", "y", "x", F.negative("value").alias("value"))
 
 
+def fill_gray_holes(pixels: DataFrame, value: str, conn: int = 8) -> DataFrame:
+    """tile, y, x, value: dark places that no way leads out of, but over brighter pixels, are raised to the least height that
+    leads to the tile's border. A row for every pixel of a tile."""
+    edge = pixels.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(value).alias("top"))
+    up = pixels.select("tile", "y", "x", F.negative(value).alias("m")).join(edge, "tile")
+    marker = F.when(F.col("x").isin(F.col("x0"), F.col("x1")) | F.col("y").isin(F.col("y0"), F.col("y1")), F.col("m")).otherwise(F.negative("top"))
+    return reconstruct(up.select("tile", "y", "x", "m", marker.alias("k")), "m", "k", conn).select("tile", "y", "x", F.negative("value").alias("value"))
+
+
 def basins(pixels: DataFrame, value: str, conn: int = 8) -> DataFrame:
     """tile, y, x, basin: every pixel goes down to a regional minimum, whose first pixel names the basin.
 

@@ -96,6 +96,11 @@ def snk_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.read(spark, path)
 
 
+def src_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty names drawn, the same ones on every run."""
+    return tiles.shuffled(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name"), "c_name", 30)
+
+
 def join_prefix_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return o.groupBy(F.substring("c_name", 1, 15).alias("patient")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.stddev_pop("c_acctbal"), 4).alias("std"))
@@ -114,13 +119,14 @@ def ml_nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("vec_id").agg(F.min(F.struct("d", "label")).alias("m")).select("vec_id", F.col("m.label").alias("center"), F.round("m.d", 5).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (prj_pixels, flt_background, agg_histogram_moments, win_quartiles, agg_cooccurrence, win_gradient, win_systematic_sample, src_png, snk_mosaic, join_prefix_patients, prj_paths, ml_nearest_center)}
+QUERIES = {f.__name__: f for f in (prj_pixels, flt_background, agg_histogram_moments, win_quartiles, agg_cooccurrence, win_gradient, win_systematic_sample, src_png, src_shuffled, snk_mosaic, join_prefix_patients, prj_paths, ml_nearest_center)}
 ORACLE_SQL = {
     "prj_pixels": _PX + """select tile, y, x, gray, 255 - r as inverted, cast(floor(g / (b + g + r + 2.220446049250313e-16) * 255.0::double) as int) as green, round(255.0::double - 255.0::double * ln(g + 1.0::double) / ln(255.0::double), 6) as density,
       (r * -0.154::double + g * 0.035::double + b * 0.549::double - 45.718::double) < (r * -0.057::double + g * -0.817::double + b * 1.170::double - 49.887::double) as foreground from q""",
     "flt_background": _PX + ", s as (select tile, avg((b > 220 and g > 220 and r > 220)::int::double) as ratio from p group by tile) select tile, round(ratio, 6) as ratio, case when ratio >= 0.99 then 'BACKGROUND' when ratio >= 0.9 then 'BACKGROUND_LIKELY' else 'CONTINUE' end as status from s",
     "agg_histogram_moments": _PX + """, h as (select tile, gray, count(*) as n from q group by all), m as (select *, n / sum(n) over (partition by tile)::double as p from h)
       select tile, round(sum(p * gray), 6) as mean, round(sqrt(greatest(sum(p * gray * gray) - sum(p * gray) * sum(p * gray), 0)), 5) as std, min(gray) as lowest, max(gray) as highest, round(-sum(p * log2(p)), 6) as entropy, round(sum(p * p), 6) as energy from m group by tile""",
+    "src_shuffled": "select c_name from customer order by md5('0:' || c_name), c_name limit 30",
     "src_png": _PLACED + "select image, tile_x, tile_y, y, x, b, g, r from pl where image = 'slide1' and tile_x + x >= 4 and tile_x + x < 30 and tile_y + y >= 5 and tile_y + y < 45",
     "snk_mosaic": _PLACED + """, c as (select image, max(tile_x + x) as w, max(tile_y + y) as h from pl group by image),
       g as (select image, gx, gy from c, range(0, 4096) a(gx), range(0, 65536) b(gy) where gx <= w and gy <= h)

@@ -63,6 +63,10 @@ def mor_hmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basins.drop_shallow_minima(_gray(spark, sf_dir), "gray", 20, 8)
 
 
+def mor_fill_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basins.fill_gray_holes(_gray(spark, sf_dir), "gray", 8)
+
+
 def mor_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basins.basins(_gray(spark, sf_dir), "gray", 8)
 
@@ -97,7 +101,7 @@ def _widest(mask: str, marker: str) -> str:
 
 
 _ON, _OFF = f"gray >= {LEVEL}", f"gray < {LEVEL}"
-QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct, mor_maxima, mor_hmin, mor_basins, mor_watershed, cc_fill_seeds)}
+QUERIES = {f.__name__: f for f in (cc_label, cc_label4_numbered, cc_boxes, cc_select, cc_fill_holes, mor_open, mor_dilate, mor_distance, mor_reconstruct, mor_maxima, mor_hmin, mor_basins, mor_fill_gray, mor_watershed, cc_fill_seeds)}
 _FLAT = """, n8 as materialized (select a.tile, a.node as p, a.gray as v, b.node as r, b.gray as u from o a join o b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.node != b.node),
   reach as (select tile, node as p, node as r from o union select n.tile, reach.p, n.r from reach join n8 n on n.tile = reach.tile and n.p = reach.r and n.u = n.v),
   f as materialized (select tile, p, min(r) as label from reach group by all) """
@@ -131,6 +135,7 @@ ORACLE_SQL = {
     "cc_fill_holes": _reach(_OFF, 4) + f"select tile, y, x from q where {_ON} union all select tile, y, x from l where (tile, label) not in (select (tile, label) from l where x in (0, 7) or y in (0, 7))",
     "mor_reconstruct": _widest("gray", "greatest(gray - 40, 0)") + "select tile, y, x, v as value from w join n using (tile, node)",
     "mor_hmin": _widest("-gray", "-gray - 20") + "select tile, y, x, -v as value from w join n using (tile, node)",
+    "mor_fill_gray": _widest("-gray", "case when x in (0, 7) or y in (0, 7) then -gray else -255 end") + "select tile, y, x, -v as value from w join n using (tile, node)",
     "mor_dilate": _PX + "select a.tile, a.y, a.x, max(b.gray) as gray from q a join q b on a.tile = b.tile and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all",
     "mor_open": _PX + """, w as (select a.tile, a.y, a.x, min(b.gray) as gray from q a join q b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1 group by all)
       select a.tile, a.y, a.x, max(b.gray) as gray from w a join w b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1 group by all""",

@@ -124,3 +124,10 @@ def sample(rows: DataFrame, numerator: int, denominator: int, partition: list[st
     numbered = sliced.withColumn("_inside", inside).join(before, keys).withColumn("_rn", F.col("_inside") + F.col("_before"))
     taken = F.floor(F.col("_rn") * numerator / denominator) > F.floor((F.col("_rn") - 1) * numerator / denominator)
     return numbered.filter(taken).select(*rows.columns)
+
+
+def shuffled(files: DataFrame, column: str, limit: int = -1, seed: str = "0") -> DataFrame:
+    """The files in an order drawn by a seeded hash of their names, the same on every run; the first `limit`, or all (-1). Equal
+    names stay together, in no certain order."""
+    drawn = files.orderBy(F.md5(F.concat_ws(":", F.lit(seed), column)), column)
+    return drawn if limit < 0 else drawn.limit(limit)

@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import morphology, regions
+from tessera.operators import basins, morphology, regions
 
 TILE = ["11000011", "10100001", "00011100", "01110100", "01010100", "01110001", "00000010", "10000001"]
 
@@ -85,3 +85,14 @@ def test_kernels_of_any_form(spark):
                 want[y, x] = least(got) if got else None
             found = {(r.y, r.x): r.m for r in f(df, "m", offsets).collect()}
             assert {p: found.get(p) for p in v} == want
+
+
+def test_gray_holes_by_repeated_erosion(spark):
+    """A pit is filled to its lowest rim; repeated erosion from the border above the pixels."""
+    v, df = _grid(spark, random.Random(9), 8, 11, 30)
+    at = {p: a for p, (a, _) in v.items()}
+    want, old = {(y, x): a if y in (0, 7) or x in (0, 10) else 99 for (y, x), a in at.items()}, None
+    while want != old:
+        old = want
+        want = {(y, x): max(at[y, x], min(old[y + a, x + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (y + a, x + b) in at)) for y, x in at}
+    assert {(r.y, r.x): r.value for r in basins.fill_gray_holes(df, "m").collect()} == want
