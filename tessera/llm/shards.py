@@ -7,7 +7,8 @@ by the source, so that sources of few rows spread over the shards.
 
 No step ranks a source, or the corpus, in one task. Ranks are taken inside buckets of the hash (or the fraction), whose
 sizes are counted first and added up before; the number of buckets follows the number of rows, so a bucket stays at about
-BUCKET_ROWS rows even if one source has all rows. Only the sums over buckets go through windows over few rows.
+BUCKET_ROWS rows even if one source has all rows. Only sums
+go through windows: over SPAN buckets, and over one row for each SPAN buckets.
 
 Law: `rows`. Counts of shards are at most one apart; slots run from 0 without gaps.
 
@@ -26,6 +27,8 @@ from .common import table
 SHARDS, SEED = 16, "tessera-7"
 #: Rows that a bucket has on average.
 BUCKET_ROWS = 5_000
+#: Buckets that are summed together before all are: a window holds so many of them, or one row for each such group.
+SPAN = 4_096
 
 
 def _unit(x: Column) -> Column:
@@ -35,8 +38,12 @@ def _unit(x: Column) -> Column:
 
 def _ranked(rows: DataFrame, keys: list[str], bucket: str, order: list[Column | str], rank: str, counts: DataFrame) -> DataFrame:
     """Ranks from 1 by bucket and then order, within keys; counts has the rows of every bucket (keys, bucket, n)."""
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    span = F.floor(F.col(bucket) / SPAN)
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy(*keys, span.alias("span")).agg(F.sum("n").alias("n"))
+    spans = spans.withColumn("spans_before", F.coalesce(F.sum("n").over(earlier(*keys, "span")), F.lit(0))).drop("n")
+    within = counts.withColumn("span", span).withColumn("before", F.coalesce(F.sum("n").over(earlier(*keys, "span", bucket)), F.lit(0)))
+    offsets = within.join(spans, [*keys, "span"]).withColumn("before", F.col("before") + F.col("spans_before")).drop("n", "span", "spans_before")
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     ranked = rows.withColumn(rank, F.row_number().over(inside).cast("long"))
     return ranked.join(offsets, [*keys, bucket]).withColumn(rank, F.col(rank) + F.col("before")).drop("before")

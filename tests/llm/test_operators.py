@@ -153,6 +153,14 @@ def test_toxicity_learns_from_documents_that_share_a_word(spark):
     assert " zorgle " in weights and " unusual " not in weights and f" {common} " not in weights
 
 
+def test_shards_over_many_spans(spark, monkeypatch):
+    """Buckets of few rows and spans of few buckets change no shard and no slot."""
+    want = {tuple(r) for r in shards.op2_sharding(spark, DIR).collect()}
+    monkeypatch.setattr(shards, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(shards, "SPAN", 4)
+    assert {tuple(r) for r in shards.op2_sharding(spark, DIR).collect()} == want
+
+
 def test_licenses(spark, odd):
     texts = ["Use the MIT-License or MIT license; GNU General Public License, version 3", "mit license", "Licensed under the Apache License, Version 2.0.", "Кmit license Kapache license", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
