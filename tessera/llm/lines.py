@@ -8,9 +8,12 @@ run that a third of all rows hold is one row there. Suffixes whose prefix occurs
 
 Equal ranks by n lines are exactly the intervals of the suffix array whose longest common prefix is n lines or more. In each,
 the first suffix in the order of doc_id and place is the copy that stays, and every later one is a span of n lines to delete,
-if n is min_lines or more, or its lines hold min_words words. Of a suffix, the longest such span counts; spans inside others
-fall away, and spans that go on along one first copy unite to a run. So each run stands as a whole in its first copy. Where a
-document before that copy holds a part of the run, it can be told as overlapping runs of two first copies; the same lines go.
+if n is min_lines or more, or its lines hold min_words words. Spans that touch make a stretch. Where all of a stretch lies along
+one first copy, it is one run. Elsewhere the longest prefix that each suffix shares with an earlier one is found by descent
+over the kept ranks, from the longest to those of one line: the suffixes of an interval part by the rank of what follows, and
+those with an earlier one beside them go on to the longer interval. So these lengths are exact, and a run is a span that no
+span from a lesser place holds: one for every maximal repeat, whole in its first copy. Two runs overlap only where no earlier
+place holds them together.
 
 So a line goes just when it lies in MIN_LINES or more neighbouring lines, or in one or two of MIN_WORDS words together, that
 also stand earlier (in a document of lower doc_id, or higher up in the same document).
@@ -24,7 +27,7 @@ columns where the table has such names. A very long text is one row a line, but
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, fresh_name, table
@@ -77,6 +80,70 @@ def repeated_prefixes(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple
     return out
 
 
+def _me() -> Column:
+    return F.struct("d", "t", "place")
+
+
+def _told(levels: list[tuple[int, DataFrame]], min_lines: int, min_words: int) -> DataFrame:
+    """For each suffix with an earlier copy, its longest span of the ranked lengths, the stretch of touching spans that it is
+    in, and whether the stretch forks: is along more than one first copy. A cut table."""
+    spans = None
+    for length, ranks in levels:
+        enough = F.lit(True) if length >= min_lines else F.col("words") >= min_words
+        later = ranks.filter(enough & (_me() != F.col("first"))).select("d", "t", "place", F.struct(F.lit(length).alias("n"), "line", "last", "first").alias("span"))
+        spans = later if spans is None else spans.unionByName(later)
+    longest = spans.groupBy("d", "t", "place").agg(F.max("span").alias("span")).select("d", "t", "place", "span.*")
+    order = Window.partitionBy("d", "t").orderBy("place")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("place") + F.col("n")
+    along = F.when(end > F.col("before"), F.struct(F.col("first.d"), F.col("first.t"), F.col("first.place") - F.col("place")))
+    marked = longest.withColumn("before", F.coalesce(F.max(end).over(earlier), F.lit(-1)))
+    marked = marked.withColumn("stretch", F.sum((F.col("place") > F.col("before")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("along", along)
+    turns = F.col("along").isNotNull() & (F.col("place") <= F.col("before")) & (F.col("along") != F.last("along", ignorenulls=True).over(earlier))
+    return cut(marked.withColumn("turns", turns).withColumn("fork", F.max("turns").over(Window.partitionBy("d", "t", "stretch"))).drop("before", "along", "turns"))
+
+
+def _shared_lengths(levels: list[tuple[int, DataFrame]], told: DataFrame) -> DataFrame | None:
+    """d, t, place, n and first of the suffixes in forked stretches: the length of the longest prefix that an earlier suffix
+    has too, and the first such suffix. None if no stretch forks. A cut table.
+
+    A suffix whose longest ranked span is of n lines has a length between n and the next ranked one. The rows are the members
+    of its interval but for those with a longer ranked span, which are first in no interval that matters here. In each step a
+    row takes on the rank of the lines after its own; of equal rows, the later go on to the longer length, the first does so as
+    their source and stays as well, and rows alone stay. An interval is named by its first suffix."""
+    forks = told.filter("fork")
+    asked = cut(forks.select(F.col("n").alias("base"), "first").distinct())
+    longest = asked.agg(F.max("base")).first()[0]
+    if longest is None:
+        drop_cut(asked)
+        return None
+    members = None
+    for length, ranks in levels:
+        if length <= longest:
+            of = ranks.select("d", "t", "place", F.lit(length).alias("base"), "first")
+            members = of if members is None else members.unionByName(of)
+    own = told.select("d", "t", "place", F.col("n").alias("own"))
+    rows = members.join(asked, ["base", "first"], "left_semi").join(own, ["d", "t", "place"], "left").filter("own is null or own <= base")
+    state = cut(rows.select("d", "t", "place", "base", F.col("base").alias("n"), "first"))
+    drop_cut(asked)
+    for step, ranks in reversed(levels):
+        if step >= longest:
+            continue
+        ahead = ranks.select("d", "t", F.col("place").alias("at"), F.col("rank").alias("ahead"))
+        tried = state.withColumn("at", F.when(F.col("base") > step, F.col("place") + F.col("n"))).join(ahead, ["d", "t", "at"], "left").drop("at")
+        keys = ["base", "n", "first", "ahead"]
+        several = tried.filter("ahead is not null").groupBy(*keys).agg(F.count("*").alias("size"), F.min(_me()).alias("source")).filter("size > 1").drop("size")
+        stays = F.struct("n", "first")
+        goes = F.struct((F.col("n") + step).alias("n"), F.col("source").alias("first"))
+        forms = F.when(F.col("source").isNull(), F.array(stays)).when(_me() == F.col("source"), F.array(stays, goes)).otherwise(F.array(goes))
+        new = cut(tried.join(several, keys, "left").select("d", "t", "place", "base", F.explode(forms).alias("s")).select("d", "t", "place", "base", "s.*"))
+        drop_cut(state)
+        state = new
+    out = cut(state.filter(_me() != F.col("first")).drop("base").join(forks.select("d", "t", "place"), ["d", "t", "place"], "left_semi"))
+    drop_cut(state)
+    return out
+
+
 def later_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs of lines that are later copies, of documents with keys d and t: place and line of their first line, last (the
     number of their last line), n (lines that aren't blank), first (d, t and place of the first copy), and fresh (lines that
@@ -84,26 +151,24 @@ def later_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     levels = repeated_prefixes(docs, min_lines)
     if not levels:
         return docs.sparkSession.createDataFrame([], "d long, t long, place int, line int, last int, n int, first struct<d: long, t: long, place: int>, fresh long")
-    spans = None
-    for length, ranks in levels:
-        enough = F.lit(True) if length >= min_lines else F.col("words") >= min_words
-        later = ranks.filter(enough & (F.struct("d", "t", "place") != F.col("first"))).select("d", "t", "place", F.struct(F.lit(length).alias("n"), "line", "last", "first").alias("span"))
-        spans = later if spans is None else spans.unionByName(later)
-    longest = spans.groupBy("d", "t", "place").agg(F.max("span").alias("span")).select("d", "t", "place", "span.*")
+    told = _told(levels, min_lines, min_words)
     order = Window.partitionBy("d", "t").orderBy("place")
-    end, none = F.col("place") + F.col("n"), F.lit(-1)
-    # spans inside an earlier one fall away: the ends of the rest rise with their places
-    rest = longest.withColumn("before", F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), none)).filter(end > F.col("before"))
-    along = F.struct(F.col("first.d"), F.col("first.t"), F.col("first.place") - F.col("place"))
-    goes_on = F.coalesce((F.lag(along).over(order) == along) & (F.col("place") <= F.col("before")), F.lit(False))
-    runs = rest.withColumn("run", F.sum((~goes_on).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("place") + F.col("n")
+    before = F.coalesce(F.max(end).over(earlier), F.lit(-1))
     least = F.min(F.struct("place", "line", "first"))
-    made = runs.groupBy("d", "t", "run").agg(
-        least.alias("s"), F.max("last").alias("last"), (F.max(end) - F.min("place")).alias("n"), F.sum(end - F.greatest("place", "before")).alias("fresh")
-    )
-    out = cut(made.select("d", "t", "s.place", "s.line", "last", "n", "s.first", "fresh"))
-    for _, ranks in levels:
-        drop_cut(ranks)
+    straight = told.filter("not fork").groupBy("d", "t", "stretch").agg(least.alias("s"), F.max("last").alias("last"), (F.max(end) - F.min("place")).alias("n"))
+    runs = straight.select("d", "t", "s.place", "s.line", "last", "n", "s.first")
+    exact = _shared_lengths(levels, told)
+    if exact is not None:
+        # spans inside an earlier one fall away: the ends of the rest rise with their places
+        forked = told.filter("fork").select("d", "t", "place", "line").join(exact, ["d", "t", "place"])
+        forked = forked.withColumn("before", before).filter(end > F.col("before"))
+        lasts = levels[0][1].select("d", "t", (F.col("place") + 1).alias("stop"), F.col("line").alias("last"))
+        runs = runs.unionByName(forked.withColumn("stop", end).join(lasts, ["d", "t", "stop"]).drop("before", "stop"))
+    out = cut(runs.withColumn("fresh", (end - F.greatest(F.col("place"), before)).cast("long")))
+    for made in [told, exact, *(ranks for _, ranks in levels)]:
+        drop_cut(made)
     return out
 
 
@@ -146,30 +211,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with l as (
+with recursive l as (
   select doc_id, line - 1 as line, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words
   from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)
   where regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
-seq as (select doc_id, count(*) as size, list(md5(x) order by line) as xs, list(line order by line) as ls, list(words order by line) as ws from l group by doc_id),
-lengths as (select 1 as n union all select 2 union all select {MIN_LINES} * (1 << k)::bigint from range(0, 20) r(k)),
+seq as (select doc_id, row_number() over (partition by doc_id order by line) as place, line, md5(x) as x, words from l),
 g as (
-  select doc_id, place, n, ls[place] as line, ls[place + n - 1] as last, list_sum(list_slice(ws, place, place + n - 1)) as words,
-    md5(array_to_string(list_slice(xs, place, place + n - 1), ' ')) as key
-  from (select *, unnest(range(1, size + 1)) as place from seq) join lengths on place + n - 1 <= size),
-r as (
-  select *, row_number() over w as copy, first_value(doc_id) over w as first_id, first_value(place) over w as first_place
-  from g window w as (partition by n, key order by doc_id, place)),
+  select doc_id, place, 1 as n, line, line as last, words, x as key from seq qualify count(*) over (partition by x) > 1
+  union all
+  select g.doc_id, g.place, g.n + 1, g.line, s.line, g.words + s.words, md5(g.key || s.x) as longer
+  from g join seq s on s.doc_id = g.doc_id and s.place = g.place + g.n qualify count(*) over (partition by longer) > 1),
+r as (select *, row_number() over (partition by n, key order by doc_id, place) as copy from g),
 longest as (
   select *, place + n as stop from r where copy > 1 and (n >= {MIN_LINES} or words >= {MIN_WORDS})
   qualify row_number() over (partition by doc_id, place order by n desc) = 1),
-rest as (
-  select * from (select *, coalesce(max(stop) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding), -1) as before from longest) where stop > before),
-marked as (
-  select *, case when place <= before and lag(first_id) over w = first_id and lag(first_place - place) over w = first_place - place then 0 else 1 end as new
-  from rest window w as (partition by doc_id order by place)),
 runs as (
-  select doc_id, run, min(line) as a, max(last) as b, max(stop) - min(place) as n, sum(stop - greatest(place, before)) as fresh
-  from (select *, sum(new) over (partition by doc_id order by place) as run from marked) group by doc_id, run),
+  select doc_id, line as a, last as b, n, stop - greatest(place, before) as fresh
+  from (select *, coalesce(max(stop) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding), -1) as before from longest) where stop > before),
 every as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
 kept as (
   select doc_id, coalesce(string_agg(x, chr(10) order by line), '') as text

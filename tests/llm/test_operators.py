@@ -106,9 +106,25 @@ def test_lines_against_brute_force(spark):
     got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
     assert {i: (r.n_deleted, r.text) for i, r in got.items()} == want
     assert (got[28].n_runs, got[28].longest_run) == (1, 200) and got[30].n_deleted == 1
-    for r in lines.later_runs(df.withColumns({"d": F.col("doc_id"), "t": F.xxhash64("text")})).collect():
-        run, first = docs[r.d][r.place : r.place + r.n], docs[r.first.d][r.first.place : r.first.place + r.n]
-        assert run == first and (r.first.d, r.first.place) < (r.d, r.place)
+    # lengths by comparing every suffix with every earlier one; a run is a span that no span from a lesser place holds
+    runs, suffixes = set(), [(i, a) for i in range(len(docs)) for a in range(len(docs[i]))]
+    for i, d in enumerate(docs):
+        stop = -1
+        for a in range(len(d)):
+            n, least = 0, None
+            for j, b in suffixes:
+                if (j, b) >= (i, a):
+                    break
+                e = docs[j]
+                k = 0
+                while a + k < len(d) and b + k < len(e) and d[a + k] == e[b + k]:
+                    k += 1
+                n, least = (k, (j, b)) if k > n else (n, least)
+            if n and (n >= lines.MIN_LINES or len(" ".join(d[a : a + n]).split()) >= lines.MIN_WORDS) and a + n > stop:
+                runs.add((i, a, n, a + n - 1, *least, a + n - max(a, stop)))
+                stop = a + n
+    got = lines.later_runs(df.withColumns({"d": F.col("doc_id"), "t": F.xxhash64("text")})).collect()
+    assert {(r.d, r.place, r.n, r.last, r.first.d, r.first.place, r.fresh) for r in got} == runs and len(got) == len(runs)
 
 
 def test_shards(spark, odd):
