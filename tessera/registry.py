@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import learning, logs, models, objects, pixels, processes, regions, rollups, shapes, small, tables
+from .queries import learning, logs, models, objects, pixels, processes, regions, rollups, runs, shapes, small, tables
 
-MODULES = (rollups, logs, processes, pixels, regions, objects, shapes, learning, models, tables, small)
+MODULES = (rollups, logs, processes, runs, pixels, regions, objects, shapes, learning, models, tables, small)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
