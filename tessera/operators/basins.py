@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .morphology import disc, reconstruct, square
 from .regions import plateaus
-from .staging import cut
+from .staging import cut, drop
 
 
 def _neighbours(flat: DataFrame, conn: int) -> DataFrame:
@@ -49,13 +49,17 @@ def basins(pixels: DataFrame, value: str, conn: int = 8) -> DataFrame:
     flat = cut(plateaus(pixels, value, conn))
     down = _neighbours(flat, conn).filter("level < value").groupBy("tile", "label").agg(F.min(F.struct("level", "other")).alias("to"))
     to = flat.select("tile", "label").distinct().join(down, ["tile", "label"], "left").select("tile", "label", F.coalesce("to.other", "label").alias("to"))
-    to = cut(to)
+    made = cut(to)
+    to = made
     while True:
         on = to.select("tile", F.col("label").alias("to"), F.col("to").alias("next"))
         new = cut(to.join(on, ["tile", "to"]).select("tile", "label", "to", "next"))
-        to = new.select("tile", "label", F.col("next").alias("to"))
+        drop(made)
+        made, to = new, new.select("tile", "label", F.col("next").alias("to"))
         if new.filter("to != next").isEmpty():
-            return flat.join(to, ["tile", "label"]).select("tile", "y", "x", F.col("to").alias("basin"))
+            out = cut(flat.join(to, ["tile", "label"]).select("tile", "y", "x", F.col("to").alias("basin")))
+            drop(flat, made)
+            return out
 
 
 def dividing_lines(found: DataFrame, conn: int = 8) -> DataFrame:

@@ -47,6 +47,16 @@ def collapse_runs(log: DataFrame, is_start: Column, width: int = 1 << 36) -> Dat
     return rows.groupBy("pid", "island").agg(F.min("startT").alias("startT"), F.max("endT").alias("endT"), F.max_by("eventName", F.struct("startT", "seq")).alias("last_event"), F.count("*").alias("n_events"))
 
 
+# What the stages of one tile come to, by the last of them and their number from the first on.
+OUTCOMES = {"computeNoFG": ("background", 2), "computeNoNU": ("removeRBC", 6), "computeFull": ("finalCleanup", 8)}
+
+
+def stage_outcome(collapsed: DataFrame, outcomes: dict[str, tuple[str, int]] = OUTCOMES) -> DataFrame:
+    """Runs of collapse_runs() with `outcome`: null for one that stops at another stage or lacks some."""
+    found = [F.when((F.col("last_event") == last) & (F.col("n_events") == n), name) for name, (last, n) in outcomes.items()]
+    return collapsed.withColumn("outcome", F.coalesce(*found) if found else F.lit(None).cast("string"))
+
+
 def filter_events(log: DataFrame, fields: dict[str, list], how: str = "AND") -> DataFrame:
     """Value lists are ORed, `~field` negates, fields are joined by AND or OR; unknown fields are ignored; a field given
     both plain and negated is an error."""

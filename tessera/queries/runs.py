@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import logs
 from ..sources import runs
+from .logs import _LOG, log_events
 
 _LAYOUT, _SYSTEM, _TRANSPORT = ["separate", "coloc", "baseline"], ["keeneland", "kfs", "jaguar"], ["MPI_AMR", "POSIX", "NULL"]
 _SAID = ["done\n", "all fine\n", "x\nMPICH2 ERROR\ny\n", "_pmii: exit signal Aborted\n", "walltime exceeded\n", "a\nfailed to open\nb\n"]
@@ -38,9 +40,19 @@ def src_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("log", "run", when("start"), "launcher", "program", "arguments", F.col("options")["size"].alias("size"), F.col("options")["mode"].alias("mode"), "status", when("finish"))
 
 
-QUERIES = {f.__name__: f for f in (src_run_names, src_run_logs)}
+def prj_stage_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from one click up to the next, told by their last kind and their number."""
+    made = logs.collapse_runs(log_events(spark, sf_dir), F.col("eventName") == "click")
+    told = logs.stage_outcome(made, {"seen": ("view", 2), "bought": ("purchase", 3), "left": ("click", 1)})
+    return told.select("pid", "island", "startT", "endT", F.coalesce("outcome", F.lit("none")).alias("outcome"))
+
+
+QUERIES = {f.__name__: f for f in (src_run_names, src_run_logs, prj_stage_outcome)}
 _OUT = "k % 3 <> 2"
 ORACLE_SQL = {
+    "prj_stage_outcome": _LOG + """, i as (select *, sum((eventName = 'click')::int) over (partition by pid order by startT, seq rows unbounded preceding)::bigint as island from log),
+      g as (select pid, island, min(startT) as startT, max(endT) as endT, arg_max(eventName, (startT, seq)) as last, count(*) as n from i group by pid, island)
+      select pid, island, startT, endT, case when last = 'view' and n = 2 then 'seen' when last = 'purchase' and n = 3 then 'bought' when last = 'click' and n = 1 then 'left' else 'none' end as outcome from g""",
     "src_run_names": f"""with o as (select o_orderkey::bigint as k, o_custkey::bigint as c from orders),
       n as (select *, case when k % 2 = 0 then 12 else 1 end * (c + 100) as procs, case when k % 5 = 0 then 0 else 1 end::bigint as masters, case when k % 3 = 0 and c % 6 <> 0 then c % 60 + 1 end as writers,
         case when {_OUT} and c % 11 <> 0 then c % 30 + 1 end as g, case when k % 3 = 0 then case when c % 6 = 0 then -1 else c % 60 + 1 end else c % 4 + 1 end as than from o)

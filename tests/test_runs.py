@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera.plans import logs
 from tessera.sources import runs
 
 
@@ -37,3 +38,16 @@ def test_stamps_and_logs(spark, tmp_path):
     assert [(r.log, r.finish) for r in runs.scrape(odd).collect()] == [("c", None)]
     times = spark.createDataFrame([("Sat Nov 28 07:24:00 2026",), ("soon",), (None,)], "t string").select(runs.stamp(F.col("t")).cast("string").alias("s")).collect()
     assert [t.s for t in times] == ["2026-11-28 07:24:00", None, None]
+
+
+def test_stage_outcomes(spark):
+    stages = ["toRGB", "background", "RBC", "GrayNU", "NuMask", "removeRBC", "separateNuclei", "finalCleanup"]
+    rows, t = [], 0
+    for pid, of in enumerate([stages, stages[:6], stages[:2], stages[:4], ["toRGB", "finalCleanup"]]):
+        for name in [*of, *stages[:2]]:
+            rows.append((t, pid, name, t * 10 + 1, t * 10 + 5))
+            t += 1
+    log = spark.createDataFrame(rows, "seq long, pid int, eventName string, startT long, endT long")
+    got = logs.stage_outcome(logs.collapse_runs(log, F.col("eventName") == "toRGB")).orderBy("startT").collect()
+    assert [r.outcome for r in got] == ["computeFull", "computeNoFG", "computeNoNU", "computeNoFG", "computeNoFG", "computeNoFG", None, "computeNoFG", None, "computeNoFG"]
+    assert (got[0].startT, got[0].endT) == (1, 75)
