@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .morphology import STRIDE
-from .staging import cut, drop
+from .staging import cut, drop, shuffled
 
 
 def lowest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def label(mask: DataFrame, conn: int = 8) -> DataFrame:
     below = runs.select("tile", (F.col("y") - 1).alias("y"), F.col("node").alias("b"), "x", F.explode(reach).alias("d")).select("tile", "y", (F.col("x") + F.col("d")).alias("x"), "b")
     links = runs.join(below, ["tile", "y", "x"]).select("tile", F.col("node").alias("a"), "b").distinct()
     found = lowest_reachable(runs.select("tile", "node").distinct(), links)
-    return runs.join(found, ["tile", "node"]).select("tile", "y", "x", "label")
+    return shuffled(runs.join(found, ["tile", "node"]).select("tile", "y", "x", "label"))
 
 
 def relabel(labels: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def relabel(labels: DataFrame) -> DataFrame:
 def select_seeded(labels: DataFrame, seeds: DataFrame) -> DataFrame:
     """The regions that some seed pixel (tile, y, x) touches."""
     hit = labels.join(seeds.select("tile", "y", "x"), ["tile", "y", "x"], "left_semi").select("tile", "label").distinct()
-    return labels.join(hit, ["tile", "label"], "left_semi")
+    return shuffled(labels.join(hit, ["tile", "label"], "left_semi"))
 
 
 def boxes(labels: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def by_area(labels: DataFrame, least: int, below: int | None = None) -> DataFram
     area = labels.groupBy("tile", "label").agg(F.count("*").alias("area")).filter(F.col("area") >= least)
     if below is not None:
         area = area.filter(F.col("area") < below)
-    return labels.join(area.select("tile", "label"), ["tile", "label"], "left_semi")
+    return shuffled(labels.join(area.select("tile", "label"), ["tile", "label"], "left_semi"))
 
 
 def fill_holes(mask: DataFrame, conn: int = 8) -> DataFrame:
@@ -94,7 +94,7 @@ def plateaus(pixels: DataFrame, value: str, conn: int = 8) -> DataFrame:
     below = runs.select("tile", (F.col("y") - 1).alias("y"), "value", F.col("node").alias("b"), "x", F.explode(reach).alias("d")).select("tile", "y", (F.col("x") + F.col("d")).alias("x"), "value", "b")
     links = runs.join(below, ["tile", "y", "x", "value"]).select("tile", F.col("node").alias("a"), "b").distinct()
     found = lowest_reachable(runs.select("tile", "node").distinct(), links)
-    return runs.join(found, ["tile", "node"]).select("tile", "y", "x", "value", "label")
+    return shuffled(runs.join(found, ["tile", "node"]).select("tile", "y", "x", "value", "label"))
 
 
 def fill_from(mask: DataFrame, seeds: DataFrame, conn: int = 8) -> DataFrame:

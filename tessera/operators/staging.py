@@ -32,16 +32,24 @@ def fresh(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows written in the shared folder and read again, so that a lost executor costs no earlier round. drop() or the
-    end of the driver deletes them."""
+    end of the driver deletes them.
+
+    Joins with the table, or with what is projected, filtered or grouped from it, shuffle: of pixels and labels a file is a
+    small part of the rows that it holds, so by its size Spark would send them whole through the driver to all executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
+    out = shuffled(spark.read.schema(df.schema).parquet(path))
     out._tessera_path = path
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The rows, such that the next join with them shuffles, whatever size Spark guesses."""
+    return df.hint("merge")
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of cut() that no later plan reads; other tables are left alone."""
     for df in tables:

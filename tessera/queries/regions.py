@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import basins, flooding, morphology, regions
-from .pixels import _PX, _gray, pixels
+from .pixels import _PX, _gray
 
 # A pixel is on at LEVEL or more, and a seed at SEED or more.
 LEVEL, SEED = 128, 180
@@ -73,8 +73,7 @@ def mor_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mor_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minima of gray flood the colours; with dividing lines."""
-    colours = pixels(spark, sf_dir).select("tile", "y", "x", "b", "g", "r")
-    return flooding.watershed(_gray(spark, sf_dir).select("tile", "y", "x", "gray").join(colours, ["tile", "y", "x"]), "gray", ["b", "g", "r"])
+    return flooding.watershed(_gray(spark, sf_dir), "gray", ["b", "g", "r"])
 
 
 def cc_fill_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

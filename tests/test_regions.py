@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.operators import basins, morphology, regions
+from pyspark.sql import functions as F
+
+from tessera.operators import basins, morphology, regions, staging
 
 TILE = ["11000011", "10100001", "00011100", "01110100", "01010100", "01110001", "00000010", "10000001"]
 
@@ -96,3 +98,19 @@ def test_gray_holes_by_repeated_erosion(spark):
         old = want
         want = {(y, x): max(at[y, x], min(old[y + a, x + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (y + a, x + b) in at)) for y, x in at}
     assert {(r.y, r.x): r.value for r in basins.fill_gray_holes(df, "m").collect()} == want
+
+
+def _broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_between_rounds_are_not_broadcast(spark):
+    """A table of pixels is many times its file, so joins with it shuffle, also once it is projected or grouped."""
+    found = staging.cut(mask(spark))
+    try:
+        assert not _broadcasts(found.join(found.groupBy("tile", "y").agg(F.max("x").alias("x")), ["tile", "y", "x"]))
+        labels = regions.label(mask(spark), 8)
+        for df in (labels, regions.boxes(regions.by_area(labels, 3, 30)), regions.relabel(labels), regions.fill_holes(mask(spark)), basins.regional(mask(spark).withColumn("v", F.col("on").cast("int")), "v"), labels.join(mask(spark), ["tile", "y", "x"])):
+            assert not _broadcasts(df)
+    finally:
+        staging.drop(found)
