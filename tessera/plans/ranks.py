@@ -22,8 +22,11 @@ def ranked(long: DataFrame, column: str, value: str, order: str, range_rows: int
     parts = max(1, -(-most // range_rows))
     ends = [i / parts for i in range(1, parts)]
     if ends:
-        borders = rows.groupBy(column).agg(F.percentile_approx(value, ends, 10 * parts).alias("ends"))
-        at = F.size(F.filter("ends", lambda e: e < F.col(value)))
+        # approximate quantiles differ from run to run, so rows and counts read the same ones from a written table
+        borders = cut(rows.groupBy(column).agg(F.sort_array(F.percentile_approx(value, ends, 10 * parts)).alias("ends")))
+        # the borders below the value, found by halving: borders rise
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(ends).bit_length()))))
+        at = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("ends", n + step - 1) < F.col(value), n + step).otherwise(n))
         dealt = rows.join(borders, column).withColumn("part", at).drop("ends")
         same = dealt.groupBy(column, "part").agg(F.count("*").alias("n"), F.min(order).alias("o0"), F.max(order).alias("o1"), F.countDistinct(value).alias("kinds"))
         # a range of one value is split evenly along the order
@@ -33,6 +36,8 @@ def ranked(long: DataFrame, column: str, value: str, order: str, range_rows: int
         dealt = dealt.withColumn("sub", F.coalesce(sub, F.lit(0)).cast("long")).drop("o0", "o1", "cuts")
     else:
         dealt = rows.withColumn("part", F.lit(0)).withColumn("sub", F.lit(0).cast("long"))
+    dealt = cut(dealt)
+    drop(rows, *([borders] if ends else []))
     counts = dealt.groupBy(column, "part", "sub").agg(F.count("*").alias("n"))
     before = Window.partitionBy(column).orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(column, "part", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

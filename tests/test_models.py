@@ -134,3 +134,15 @@ def test_runs_and_samples_over_slices(spark):
     for pid in (0, 1):
         of = sorted(r[1] for r in rows if r[0] == pid)
         assert sorted(r.startT for r in taken.filter(F.col("pid") == pid).collect()) == [t for i, t in enumerate(of, 1) if i * 2 // 7 > (i - 1) * 2 // 7]
+
+
+def test_ranks_hold_if_approximate_borders_differ_from_run_to_run(spark, monkeypatch):
+    """Merged in another order, approximate quantiles are others; each evaluation draws new borders here,
+    as each reader of a shuffle does that merges for itself."""
+    monkeypatch.setattr(ranks.F, "percentile_approx", lambda value, ends, accuracy: drawn(F.count(value) * 0 + len(ends)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    drawn = F.udf(lambda n: [random.SystemRandom().uniform(0, 10) for _ in range(n)], "array<double>").asNondeterministic()
+    df = spark.createDataFrame([(c, i, float(i * 7 % 10)) for c in range(2) for i in range(150)], "feature_idx int, id long, value double")
+    got = [(r.feature_idx, r.value, r.id, r["rank"]) for r in ranks.ranked(df, "feature_idx", "value", "id", 10).collect()]
+    spark.conf.unset("spark.sql.exchange.reuse")
+    assert [r[3] for r in sorted(got)] == [*range(1, 151)] * 2
