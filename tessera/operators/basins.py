@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .morphology import disc, reconstruct, square
 from .regions import plateaus
-from .staging import cut, drop
+from .staging import cut, drop, shuffled
 
 
 def _neighbours(flat: DataFrame, conn: int) -> DataFrame:
@@ -23,7 +23,7 @@ def regional(pixels: DataFrame, value: str, conn: int = 8, maxima: bool = True)
     """tile, y, x, label of the plateaus without a greater neighbour (or, for minima, a smaller one)."""
     flat = cut(plateaus(pixels, value, conn))
     beaten = _neighbours(flat, conn).filter("level > value" if maxima else "level < value").select("tile", "label").distinct()
-    return flat.join(beaten, ["tile", "label"], "left_anti").select("tile", "y", "x", "label")
+    return shuffled(flat.join(beaten, ["tile", "label"], "left_anti").select("tile", "y", "x", "label"))
 
 
 def drop_shallow_minima(pixels: DataFrame, value: str, depth: float, conn: int = 8) -> DataFrame:
