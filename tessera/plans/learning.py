@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +41,66 @@ def furthest_first(df: DataFrame, k: int, id_col: str = "id", features: str = "f
 
 def kmeans(df: DataFrame, centers: list[list[float]], threshold: float = 0.0, rounds: int = 100, id_col: str = "id", features: str = "features") -> tuple[list[list[float]], DataFrame]:
     """Lloyd's rounds from the given centres, until at most the share `threshold` of rows changes centre. An empty cluster
-    keeps its centre. Returns the centres and the rows' id, center and d (squared distance to the centre that each was
+    keeps its centre, and one without a value of some feature that feature of it. Returns the centres and the rows' id, center and d (squared distance to the centre that each was
     given in the last round).
 
     A round is one pass that ends in k rows: rows find their centre of this round and of the one before anew, so neither
-    assignments nor features are written or shuffled."""
+    assignments nor features are written or shuffled. Tasks work on whole Arrow batches."""
     dims = len(centers[0])
     held = df.select(id_col, F.col(features).cast("array<double>").alias("f"))
     before = None
     for _ in range(rounds):
-        was = _nearest(F.col("f"), before)["center"] if before else F.lit(-1)
-        given = held.select(id_col, "f", _nearest(F.col("f"), centers).alias("n"), was.alias("was"))
-        found = given.groupBy("n.center").agg(F.count("*").alias("n"), F.sum((F.col("was") != F.col("n.center")).cast("long")).alias("changed"), *(F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(dims))).collect()  # at most k rows
-        before, centers = centers, [list(c) for c in centers]
+        found = held.select("f").mapInArrow(_Round(centers, before), "center int, n long, changed long, known array<long>, total array<double>")
+        sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("known", "total") for i in range(dims)]
+        found = found.groupBy("center").agg(F.sum("n").alias("n"), F.sum("changed").alias("changed"), *sums).collect()  # at most k rows
+        given_by, before, centers = centers, centers, [list(c) for c in centers]
         for r in found:
-            centers[r["center"]] = [r[f"m{i}"] for i in range(dims)]
+            centers[r["center"]] = [r[f"total{i}"] / r[f"known{i}"] if r[f"known{i}"] else centers[r["center"]][i] for i in range(dims)]
         if sum(r["changed"] for r in found) <= threshold * sum(r["n"] for r in found):
             break
+    given = held.select(id_col, _nearest(F.col("f"), given_by).alias("n"))
     return centers, given.select(id_col, "n.center", "n.d")
 
 
+class _Round:
+    """A task's part of a round of Lloyd's: per centre, its rows, those whose centre of the round before was another, and the
+    count and sum of each feature. A row with a missing feature, or of another length, has no distance and goes to centre 0."""
+
+    def __init__(self, centers: list[list[float]], before: list[list[float]] | None) -> None:
+        self.centers, self.before = (np.array(c, float) if c else None for c in (centers, before))
+
+    @staticmethod
+    def nearest(x: np.ndarray, whole: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        d = np.column_stack([((x - c) ** 2).sum(axis=1) for c in centers])
+        return np.where(whole, np.where(np.isnan(d), np.inf, d).argmin(axis=1), 0)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, dims = self.centers.shape
+        n, changed = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        known, total = np.zeros((k, dims), np.int64), np.zeros((k, dims))
+        for batch in batches:
+            lists = batch.column("f")
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x, there = np.full((len(sizes), dims), np.nan), np.zeros((len(sizes), dims), bool)
+            inside = place < dims
+            x[row[inside], place[inside]] = flat.to_numpy(zero_copy_only=False)[inside]
+            there[row[inside], place[inside]] = flat.is_valid().to_numpy(zero_copy_only=False)[inside]
+            whole = there.all(axis=1) & (sizes == dims)
+            center = self.nearest(x, whole, self.centers)
+            was = self.nearest(x, whole, self.before) if self.before is not None else np.full(len(x), -1)
+            n += np.bincount(center, minlength=k)
+            changed += np.bincount(center[was != center], minlength=k)
+            for c in range(k):
+                mine = center == c
+                known[c] += there[mine].sum(axis=0)
+                total[c] += np.where(there[mine], x[mine], 0.0).sum(axis=0)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(changed[some]), pa.array(list(known[some]), pa.list_(pa.int64())), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["center", "n", "changed", "known", "total"])
+
+
 def class_figures(df: DataFrame, label: str, features: str = "features") -> dict:
     """Count, mean and sample covariance per class. Each task folds its rows into one sum of outer products per class, so
     what is shuffled grows with the tasks, and not with the rows."""

@@ -53,3 +53,15 @@ def test_selection():
     score = lambda s: sum(worth[x] for x in s) - 2 * (("b" in s) and ("c" in s) and "a" not in s)
     assert learning.select_forward(list(worth), score, 3) == [(["c"], 2), (["c", "a"], 3), (["c", "a", "b"], 5)]
     assert learning.select_forward(list(worth), score, 3, floating=True)[-1][1] == 5
+
+
+def test_kmeans_keeps_the_feature_that_no_row_of_a_cluster_has(spark):
+    rows = [(1, [0.0, 0.0]), (2, [2.0, 4.0]), (3, [10.0, 10.0]), (4, None), (5, [None, 10.0]), (6, [12.0, 10.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    centers, given = learning.kmeans(df, [[0.0, 1.0], [11.0, 10.0]])
+    # rows without a distance go to centre 0; what they have counts
+    assert centers == [[1.0, 14.0 / 3], [11.0, 10.0]]
+    assert {r.id: r.center for r in given.collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
+    assert {r.d is None for r in given.filter("id in (4, 5)").collect()} == {True}
+    centers, _ = learning.kmeans(df.filter("id > 3"), [[0.0, 1.0], [11.0, 10.0]], rounds=1)
+    assert centers == [[0.0, 10.0], [12.0, 10.0]]
