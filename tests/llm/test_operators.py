@@ -531,3 +531,14 @@ def test_licenses_against_plain_loops(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("present", F.lit(2))
     for r in licenses.scan(df).collect():
         assert sorted((m.rule, m.first, m.last) for m in r.found) == sorted(plain_scan(texts[r.doc_id])), texts[r.doc_id]
+
+
+def test_holder_before_is_exact_for_seeds_with_many_places(spark, monkeypatch):
+    common = " ".join(f"c{i}" for i in range(50))
+    docs = spark.createDataFrame([(7 * i * i, f"own{i} " * 3 + common + f" tail{i}") for i in range(40)], "k long, text string")
+    found = lambda: sorted((r.k, r.src, r.m.at, r.m.to) for r in passages._matches(docs).collect())
+    want = found()
+    monkeypatch.setattr(passages, "HOT", 6)
+    got = found()
+    assert got == want
+    assert {(7 * i * i, 7 * (i - 1) ** 2) for i in range(2, 40)} <= {m[:2] for m in got}
