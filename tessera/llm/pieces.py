@@ -26,6 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,13 @@ class Pieces:
         pairs = sorted((pieces[p[:k]][0] * self.stride + pieces[p[k:]][0], self.rank[i]) for p, (i, _) in pieces.items() for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces)
         self.pair_keys = np.array([-1, *(k for k, _ in pairs)], np.int64)
         self.pair_ranks = np.array([NONE, *(r for _, r in pairs)], np.int64)
+        # a slot tells the pair whose key falls there; pairs that share a slot are sought among all
+        self.slot_shift = np.uint64(64 - max(4, (8 * len(self.pair_keys)).bit_length()))
+        slot = self._slot(self.pair_keys)
+        n_slots = 1 << (64 - int(self.slot_shift))
+        self.slot_keys, self.slot_ranks = np.full(n_slots, -1, np.int64), np.full(n_slots, NONE, np.int64)
+        self.slot_keys[slot], self.slot_ranks[slot] = self.pair_keys, self.pair_ranks
+        self.slot_shared = np.bincount(slot, minlength=n_slots) > 1
         self.of_char = np.full(65536, -1, np.int64)
         for p, (i, _) in pieces.items():
             if len(p) == 1 and ord(p) < 65536 and p != SPACE:
@@ -225,8 +233,17 @@ class Pieces:
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the piece that two neighbours make; NONE if they make none."""
         want = left * self.stride + right
-        at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == want) & (left >= 0) & (right >= 0), self.pair_ranks[at], NONE)
+        slot = self._slot(want)
+        out = np.where((self.slot_keys[slot] == want) & (left >= 0) & (right >= 0), self.slot_ranks[slot], NONE)
+        shared = np.nonzero(self.slot_shared[slot])
+        if len(shared[0]):
+            left, right, want = left[shared], right[shared], want[shared]
+            at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
+            out[shared] = np.where((self.pair_keys[at] == want) & (left >= 0) & (right >= 0), self.pair_ranks[at], NONE)
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.slot_shift).view(np.int64)
 
     def _grown(self, x: np.ndarray, n: int) -> np.ndarray:
         return x if n <= len(x) else np.concatenate([x, np.full(max(n, 2 * len(x)) - len(x), UNKNOWN, x.dtype)])
@@ -267,7 +284,7 @@ class Pieces:
 
     def _walk(self, chunks: list[str], keys: np.ndarray) -> np.ndarray:
         """The leaf of every chunk that its tree leads to; UNKNOWN for others."""
-        got = np.array([self.roots.get(c, NEW) for c in chunks], np.int64)
+        got = np.fromiter(map(self.roots.get, chunks, repeat(NEW)), np.int64, len(chunks))
         for i in np.flatnonzero((got <= NEW) & (got > FIRST_LEAF)).tolist():
             c = chunks[i]
             if len(c) > WIDEST:
@@ -330,7 +347,7 @@ class Pieces:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 320):
             docs = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, text, ids in zip(docs, texts, self.encode_many(texts, [d or 0 for d in docs]), strict=True):

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -542,3 +543,14 @@ def test_holder_before_is_exact_for_seeds_with_many_places(spark, monkeypatch):
     got = found()
     assert got == want
     assert {(7 * i * i, 7 * (i - 1) ** 2) for i in range(2, 40)} <= {m[:2] for m in got}
+
+
+def test_slots_give_the_ranks_of_all_pairs():
+    model = pieces.Pieces.load()
+    at = next(i for i in range(1, len(model.pair_keys)) if model.slot_shared[model._slot(model.pair_keys[i : i + 1])[0]])
+    left, right = model.pair_keys // model.stride, model.pair_keys % model.stride
+    assert (model._rank_of(left[1:], right[1:]) == model.pair_ranks[1:]).all() and at
+    known = set(model.pair_keys.tolist())
+    a, b = np.array([-1, *range(300, 1300)]), np.array([5, *range(1400, 400, -1)])
+    got = model._rank_of(a, b)
+    assert [g == pieces.NONE for g in got.tolist()] == [x < 0 or x * model.stride + y not in known for x, y in zip(a.tolist(), b.tolist(), strict=True)]
