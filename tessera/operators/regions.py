@@ -1,21 +1,94 @@
 """Connected regions of masks. A mask is a table of pixels: tile, y, x and a boolean column `on`; an absent pixel is off.
 
 Runs of neighbouring pixels in a row are the nodes, and runs that touch across two rows are linked, so the iteration works
-on one row a run instead of one a pixel. A region's label is its first pixel in raster order, y * STRIDE + x.
+on one row a run instead of one a pixel, and only on regions that reach beyond the rows that a task holds. A region's label is its first pixel in raster order, y * STRIDE + x.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .morphology import STRIDE
 from .staging import cut, drop, shuffled
 
 
-def lowest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """tile, node, label: the least node reachable through the links (tile, a, b). Each round takes the least label among
-    the neighbours and then the label of the label, until no row changes."""
+# Links of this many rows of pixels go to one task; so many links of one tile are looked at together.
+BAND, MOST = 32, 1 << 17
+
+
+def _numbered(tiles: pa.ChunkedArray) -> np.ndarray:
+    """Numbers from 0 of a sorted column's values."""
+    parts = pa.table([tiles], ["tile"])
+    while any(pa.types.is_struct(t) for t in parts.schema.types):
+        parts = parts.flatten()
+    new = np.zeros(len(tiles), bool)
+    for c in parts.columns:
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy()
+    return np.cumsum(new)
+
+
+def _star(links: pa.Table, tile: np.ndarray) -> pa.RecordBatch:
+    """tile, node, root: the least node of the same tile that is reachable through these links."""
+    n = len(tile)
+    names, at = np.unique(np.concatenate([links.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+    places, first, at = np.unique(np.tile(tile, 2) * len(names) + at, return_index=True, return_inverse=True)
+    root = np.arange(len(places))
+    while (root[at[:n]] != root[at[n:]]).any():
+        a, b = root[at[:n]], root[at[n:]]
+        np.minimum.at(root, a, b)
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root = root[root]
+    node = names[places % len(names)]
+    return pa.RecordBatch.from_arrays([links.column("tile").combine_chunks().take(pa.array(first % n)), pa.array(node), pa.array(node[root])], ["tile", "node", "root"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_star() of links (tile, a, b) sorted by tile: whole tiles at a time, or MOST links of a tile that has more."""
+    held = None
+    for batch in batches:
+        links = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if not links.num_rows:
+            continue
+        tile = _numbered(links.column("tile"))
+        end = len(tile) if tile[-1] == 0 and len(tile) >= MOST else int(np.searchsorted(tile, tile[-1]))
+        if end:
+            yield _star(links.slice(0, end), tile[:end])
+        held = links.slice(end) if end < len(tile) else None
+    if held is not None:
+        yield _star(held, np.zeros(held.num_rows, np.int64))
+
+
+def lowest_reachable(links: DataFrame) -> DataFrame:
+    """tile, node, label: the least node reachable through the links (tile, a, b), for every node that has one. First the tasks
+    lead the nodes of neighbouring rows to the least one, links of small tiles all together. Roots of which two tasks, or two
+    parts of a large tile, hold a common node are linked in turn; only these go through rounds of joins."""
+    near = links.select("tile", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    near = near.repartition("tile", F.floor(F.col("a") / (STRIDE * BAND))).sortWithinPartitions("tile", "a")
+    stars = cut(near.mapInArrow(_stars, StructType([near.schema["tile"], StructField("node", LongType()), StructField("root", LongType())])))
+    least = stars.groupBy("tile", "node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    met = least.filter("root < other").select("tile", "node", F.col("root").alias("a"))
+    across = cut(stars.join(met, ["tile", "node"]).filter("a < root").select("tile", "a", F.col("root").alias("b")).distinct())
+    found = least.select("tile", "node", "root")
+    if across.isEmpty():
+        found = found.withColumnRenamed("root", "label")
+    else:
+        ends = across.select("tile", F.col("a").alias("node")).union(across.select("tile", "b")).distinct()
+        found = found.join(_by_rounds(ends, across).withColumnRenamed("node", "root"), ["tile", "root"], "left").select("tile", "node", F.coalesce("label", "root").alias("label"))
+    drop(across)
+    return shuffled(found)
+
+
+def _by_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """tile, node, label by joins alone. Each round takes the least label among the neighbours and then the label of the label,
+    until no row changes."""
     both = cut(links.unionByName(links.select("tile", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = nodes.select("tile", "node", F.col("node").alias("label"))
     while True:
@@ -43,8 +116,7 @@ def label(mask: DataFrame, conn: int = 8) -> DataFrame:
     reach = F.array(*(F.lit(d) for d in ((-1, 0, 1) if conn == 8 else (0,))))
     below = runs.select("tile", (F.col("y") - 1).alias("y"), F.col("node").alias("b"), "x", F.explode(reach).alias("d")).select("tile", "y", (F.col("x") + F.col("d")).alias("x"), "b")
     links = runs.join(below, ["tile", "y", "x"]).select("tile", F.col("node").alias("a"), "b").distinct()
-    found = lowest_reachable(runs.select("tile", "node").distinct(), links)
-    return shuffled(runs.join(found, ["tile", "node"]).select("tile", "y", "x", "label"))
+    return shuffled(runs.join(lowest_reachable(links), ["tile", "node"], "left").select("tile", "y", "x", F.coalesce("label", "node").alias("label")))
 
 
 def relabel(labels: DataFrame) -> DataFrame:
@@ -93,8 +165,7 @@ def plateaus(pixels: DataFrame, value: str, conn: int = 8) -> DataFrame:
     reach = F.array(*(F.lit(d) for d in ((-1, 0, 1) if conn == 8 else (0,))))
     below = runs.select("tile", (F.col("y") - 1).alias("y"), "value", F.col("node").alias("b"), "x", F.explode(reach).alias("d")).select("tile", "y", (F.col("x") + F.col("d")).alias("x"), "value", "b")
     links = runs.join(below, ["tile", "y", "x", "value"]).select("tile", F.col("node").alias("a"), "b").distinct()
-    found = lowest_reachable(runs.select("tile", "node").distinct(), links)
-    return shuffled(runs.join(found, ["tile", "node"]).select("tile", "y", "x", "value", "label"))
+    return shuffled(runs.join(lowest_reachable(links), ["tile", "node"], "left").select("tile", "y", "x", "value", F.coalesce("label", "node").alias("label")))
 
 
 def fill_from(mask: DataFrame, seeds: DataFrame, conn: int = 8) -> DataFrame:

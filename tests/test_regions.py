@@ -116,3 +116,42 @@ def test_tables_between_rounds_are_not_broadcast(spark):
         assert not _broadcasts(mask(spark).join(low, ["tile", "y", "x"], "left"))
     finally:
         staging.drop(found)
+
+
+def _counted(monkeypatch):
+    """A list that grows with every labelling that needs rounds of joins."""
+    seen, rounds = [], regions._by_rounds
+    monkeypatch.setattr(regions, "_by_rounds", lambda nodes, links: seen.append(links.count()) or rounds(nodes, links))
+    return seen
+
+
+def test_small_tiles_are_labelled_without_rounds(spark, monkeypatch):
+    """Also where a batch ends inside a tile, and for tiles named by a struct."""
+    seen = _counted(monkeypatch)
+    monkeypatch.setattr(regions, "cut", lambda df: df)  # rounds would not end in time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        on = {(y, x) for y, row in enumerate(TILE) for x, c in enumerate(row) if c == "1"}
+        many = mask(spark).crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("tile", F.struct("tile", "copy"))
+        got = regions.label(many, 8).collect()
+        assert len({r.tile for r in got}) == 40 and len(got) == 40 * len(on)
+        assert all(flood(on, 8)[r.y, r.x] == r.label for r in got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not seen
+
+
+def test_regions_beyond_a_task(spark, monkeypatch):
+    """Bands of two rows and parts of nine links: regions meet again by rounds."""
+    seen = _counted(monkeypatch)
+    rng = random.Random(11)
+    tile = ["".join("1" if rng.random() < 0.55 else "0" for _ in range(30)) for _ in range(30)]
+    on = {(y, x) for y, row in enumerate(tile) for x, c in enumerate(row) if c == "1"}
+    stars = regions._stars
+
+    monkeypatch.setattr(regions, "_stars", lambda batches: stars(b.slice(k, 4) for b in batches for k in range(0, b.num_rows, 4)))
+    monkeypatch.setattr(regions, "BAND", 2)
+    monkeypatch.setattr(regions, "MOST", 9)  # the replaced function takes its values along to the tasks
+    for conn in (4, 8):
+        assert {(r.y, r.x): r.label for r in regions.label(mask(spark, tile), conn).collect()} == flood(on, conn)
+    assert len(seen) == 2
