@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.morphology import disc
 from ..operators.regions import STRIDE
+from ..operators.staging import shuffled
 
 
 def shape(labels: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def ring(labels: DataFrame, extent: DataFrame, radius: int = 8) -> DataFrame:
     edge = own.join(inner, ["tile", "label", "y", "x"], "left_anti")
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disc(radius)))
     spread = edge.select("tile", "label", "y", "x", F.explode(around).alias("s")).select("tile", "label", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
-    return spread.join(own, ["tile", "label", "y", "x"], "left_anti").join(extent, "tile").filter("x between x0 and x1 and y between y0 and y1").select("tile", "label", "y", "x")
+    return shuffled(spread.join(own, ["tile", "label", "y", "x"], "left_anti")).join(extent, "tile").filter("x between x0 and x1 and y between y0 and y1").select("tile", "label", "y", "x")
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:

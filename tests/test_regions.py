@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import basins, morphology, regions, staging
+from tessera.plans import objects
 
 TILE = ["11000011", "10100001", "00011100", "01110100", "01010100", "01110001", "00000010", "10000001"]
 
@@ -155,3 +156,9 @@ def test_regions_beyond_a_task(spark, monkeypatch):
     for conn in (4, 8):
         assert {(r.y, r.x): r.label for r in regions.label(mask(spark, tile), conn).collect()} == flood(on, conn)
     assert len(seen) == 2
+
+
+def test_objects_are_not_broadcast(spark):
+    labels = regions.label(mask(spark), 8)
+    extent = mask(spark).groupBy("tile").agg(*(f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))))
+    assert not _broadcasts(objects.ring(labels, extent, 2))
