@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 from ..operators import edges
-from ..operators.staging import cut
+from ..operators.staging import cut, shuffled
 from . import objects
 
 # The names and their order; the channels of the ring (gray, and the stains), in the order they are stored in.
@@ -74,4 +74,4 @@ def object_vectors(labels: DataFrame, grid: DataFrame, radius: int = 8) -> DataF
     wide = around.groupBy(*keys).agg(*(F.max(F.when(F.col("channel") == c, F.col(n))).alias(f"ring_{c}_{n}") for c in CHANNELS for n in names))
     shape = objects.morphometry(labels).select(*keys, *(F.col(n).alias(f"nucleus_{n}") for n in SHAPE))
     nucleus = own.select(*keys, *(F.col(n).alias(f"nucleus_{n}") for n in (*INTENSITY, *(f"gradient_{g}" for g in GRADIENT), *EDGES)))
-    return shape.join(nucleus, keys).join(wide, keys, "left").select(*keys, F.array(*(F.col(n).cast("double") for n in NAMES)).alias("features"))
+    return shape.join(shuffled(nucleus), keys).join(shuffled(wide), keys, "left").select(*keys, F.array(*(F.col(n).cast("double") for n in NAMES)).alias("features"))

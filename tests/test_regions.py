@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import basins, morphology, regions, staging
-from tessera.plans import objects
+from tessera.plans import objects, vectors
 
 TILE = ["11000011", "10100001", "00011100", "01110100", "01010100", "01110001", "00000010", "10000001"]
 
@@ -161,4 +161,6 @@ def test_regions_beyond_a_task(spark, monkeypatch):
 def test_objects_are_not_broadcast(spark):
     labels = regions.label(mask(spark), 8)
     extent = mask(spark).groupBy("tile").agg(*(f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))))
+    colours = mask(spark).select("tile", "y", "x", *(F.col("on").cast("int").alias(c) for c in "bgr"))
     assert not _broadcasts(objects.ring(labels, extent, 2))
+    assert not _broadcasts(vectors.object_vectors(labels, colours, 2))
