@@ -6,7 +6,7 @@ from tessera import registry
 from tessera.operators import regions
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = ["join_label_overlap", "fea_hull"]
+QUERIES = ["join_label_overlap", "fea_hull", "fea_morphometry"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
