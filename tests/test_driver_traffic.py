@@ -6,7 +6,7 @@ from tessera import registry
 from tessera.operators import regions
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = ["join_label_overlap", "fea_hull", "fea_morphometry", "fea_intensity", "cc_fill_holes", "cc_fill_seeds", "cc_label4_numbered"]
+QUERIES = ["join_label_overlap", "fea_hull", "fea_morphometry", "fea_intensity", "cc_fill_holes", "cc_fill_seeds", "cc_label4_numbered", "cc_select"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
